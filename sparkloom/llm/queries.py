@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, packing, sharding, token_counts
 from .runtime import table
 
 
@@ -25,5 +26,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op5_byte_bpe": op5_byte_bpe, "op10_token_counts": op10_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}

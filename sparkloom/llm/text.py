@@ -115,3 +115,23 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
             h = mix(np.array([h * _STEP + w], dtype=np.uint64))[0]
         out[out_first[r]] = h
     return out, out_first
+
+
+class Recent:
+    """What a Python worker has worked out for words: two generations of at most `most` words and one block's new ones."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacking(self, words: set) -> list:
+        """The words without a value; the others are in `young` afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    out.append(w)
+        return out
