@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding, token_counts
+from . import bpe, exact_dedup, licenses, packing, sharding, token_counts, topk, toxicity
 from .runtime import table
 
 
@@ -39,5 +40,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op5_byte_bpe": op5_byte_bpe, "op10_token_counts": op10_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op4_license_scan": op4_license_scan, "op8_toxicity": op8_toxicity, "op3_packing": op3_packing, "op5_byte_bpe": op5_byte_bpe, "op10_token_counts": op10_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
+ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op6_exact_dedup": OP6_SQL}
