@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, packing, sharding, token_counts, topk, toxicity
+from . import bpe, exact_dedup, licenses, ngram_join, packing, pii, sharding, token_counts, topk, toxicity
 from .runtime import table
 
 
@@ -68,5 +68,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op4_license_scan": op4_license_scan, "op8_toxicity": op8_toxicity, "op3_packing": op3_packing, "op5_byte_bpe": op5_byte_bpe, "op10_token_counts": op10_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op9_pii": op9_pii, "op1_exact_topk": op1_exact_topk, "op4_license_scan": op4_license_scan, "op8_toxicity": op8_toxicity, "op3_packing": op3_packing, "op5_byte_bpe": op5_byte_bpe, "op10_token_counts": op10_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
 ORACLE_SQL = {"op1_exact_topk": OP1_SQL, "op6_exact_dedup": OP6_SQL}

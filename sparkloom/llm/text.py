@@ -110,10 +110,10 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
         slot = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(np.where(count >= k, made, 0))])[:-1], np.where(count >= k, made, 0))
         out[out_first[row] + slot] = run[first[row] + slot]
     for r in np.flatnonzero((count > 0) & (count < k)):
-        h = _U(int(count[r]))
-        for w in words[first[r] : first[r + 1]]:
-            h = mix(np.array([h * _STEP + w], dtype=np.uint64))[0]
-        out[out_first[r]] = h
+        h = np.array([count[r]], dtype=np.uint64)
+        for j in range(first[r], first[r + 1]):
+            h = mix(h * _STEP + words[j])
+        out[out_first[r]] = h[0]
     return out, out_first
 
 
