@@ -14,7 +14,9 @@ are documents of their own. An empty table gives an empty result. Other columns
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +29,61 @@ from .runtime import ship, written
 from .text import Recent
 
 #: Words whose ids a Python worker keeps, parts of the pieces of one length that are numbered on their own.
-KEEP, PARTS = 250_000, 256
+KEEP, PARTS = 180_000, 256
 _WORKER: dict = {}
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 # ---- tokens
 
 
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer never joins what a space or a line end separates."""
+    """Token ids of texts, word by word: the tokenizer never joins what a space or a line end separates.
+
+    A word of Latin-1 letters, maybe with full stops and commas behind it, is its lower-cased letters and those marks, each
+    split off by the tokenizer as well. The letters of many words go to it in one call, without the steps that would
+    leave them as they are; an id that ends a word shows where each word's ids end.
+    """
 
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(data)
+        self.usual = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known = Recent(KEEP)
 
+    def _whole(self, words: list[str]) -> None:
+        known = self.known.young
+        for a in range(0, len(words), 4096):
+            part = words[a : a + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+
+    def _steps(self, steps: tuple) -> None:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+
+    def _letters(self, words: list[str]) -> None:
+        known, odd = self.known.young, []
+        self._steps(self.bare)
+        for a in range(0, len(words), 16384):
+            parts = [words[b : b + 256] for b in range(a, min(a + 16384, len(words)), 256)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) != len(part):
+                    odd += part
+                    continue
+                data, cuts = ids.tobytes(), cuts.tolist()
+                for w, x, y in zip(part, [0, *cuts[:-1]], cuts, strict=True):
+                    known[w] = data[x:y]
+        self._steps(self.usual)
+        self._whole(odd)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -51,11 +91,25 @@ class WordIds:
         for words in split:
             new.update(words)
         new = self.known.lacking(new)
-        known = self.known.young
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known, old = self.known.young, self.known.old
+        made, letters, whole = [], set(), set()
+        for w in new:
+            core = w.rstrip(".,")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                low, marks = core.lower(), w[len(core) :]
+                if low in old and low not in known:
+                    known[low] = old[low]
+                elif low not in known:
+                    letters.add(low)
+                if marks and marks not in known:
+                    whole.add(marks)
+                made.append((w, low, marks))
+            else:
+                whole.add(w)
+        self._letters(list(letters))
+        self._whole(list(whole))
+        for w, low, marks in made:
+            known[w] = known[low] + known[marks] if marks else known[low]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
