@@ -2,33 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import aggregates, functions, joins, learning, relational, streams, structures, windows  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _register(name: str, sql: str, oracle: str | None = None, rows_only: bool = False) -> None:
-    """A query given as Spark SQL over the tables of a folder; the oracle is the same text unless another is given."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .session import register_tables
-
-        register_tables(spark, sf_dir)
-        return spark.sql(sql)
-
-    QUERIES[name] = run
-    if not rows_only:
-        ORACLE_SQL[name] = oracle or sql
-
-
-_register(
-    "pricing_summary",
-    """
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-       sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price, avg(l_quantity) AS avg_qty, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus
-""",
-)
+__all__ = ["ORACLE_SQL", "QUERIES"]
