@@ -39,7 +39,7 @@ from .runtime import drop, ship, written
 from .text import mix, pieces, plain, shingles, span_hashes, word_bounds
 
 #: Counters of the frequency sketch (a power of two) and of one of its rows.
-SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
+SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 #: Classes of a run up to which it is joined pair by pair, and classes of a block of a family.
 LIGHT, BLOCK = 64, 256
 _U = np.uint64
@@ -79,9 +79,16 @@ def overlap_needed(a, b):
 _COUNTED = "doc_id long, h long, n long, class long, proof long, part int, counts binary"
 
 
+def _tally(sketch: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        at = np.sort(np.concatenate(held))
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sketch[at[new].astype(np.int64)] += np.diff(np.append(new, len(at))).astype(np.int32)
+
+
 def _count(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(SKETCH, np.int32)
         shift = _U(64 - SKETCH.bit_length() + 1)
         for batch in batches:
             sizes, one, two, held, size = [], [], [], [], 0
@@ -90,13 +97,12 @@ def _count(seed: int):
                 d = digests(own)
                 one.append(d[0])
                 two.append(d[1])
-                held.append(own >> shift)
+                held.append((own >> shift).astype(np.uint32))
                 size += len(own)
                 if size > 1 << 20:
-                    sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
+                    _tally(sketch, held)
                     held, size = [], 0
-            if held:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
+            _tally(sketch, held)
             nulls = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *nulls], names=["doc_id", "h", "n", "class", "proof", "part", "counts"])
         parts = [p for p in range(SKETCH // SKETCH_ROW) if sketch[p * SKETCH_ROW : (p + 1) * SKETCH_ROW].any()]
@@ -112,8 +118,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(data, np.int64)
-            total[p] = total[p] + own if p in total else own
+            own = np.frombuffer(data, np.int32 if len(data) == 4 * SKETCH_ROW else np.int64)
+            total[p] = total[p] + own if p in total else own.astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
@@ -242,6 +248,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+
+def sets_of(rows: DataFrame, members: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(class, shingles) of the wanted classes, from a scan of one row of each and few others."""
+    owners = written(members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "set-owners")
+    found = rows.where(maybe_in(owners, "doc_id", F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(_set_rows(seed), "class long, shingles binary")
+    return written(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
+
+
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile; of each tile the links that join components. A tile has at most some blocks' rows."""
     held: list[tuple] = []
@@ -326,16 +343,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posts = written(posts, "bounded-prefixes")
     drop(several)
 
-    wanted = posts.select("class").distinct()
-    chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    chosen = written(chosen, "set-owners")
-    found = rows.where(maybe_in(chosen, "doc_id", F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(_set_rows(seed), "class long, shingles binary")
-    sets = written(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
-
     first = posts.groupBy("token").agg(F.min(F.struct("n", "class", "pos", "cap", "before")).alias("r"))
     star = posts.alias("p").join(first.select("token", "r.*").alias("q"), F.col("p.token") == F.col("q.token")).where("p.class <> q.class").where(_bound_ok("p", "q"))
     tried = written(star.selectExpr("least(p.class, q.class) AS a", "greatest(p.class, q.class) AS b").distinct(), "star-pairs")
-    links = written(verified(tried, sets), "star-links")
+    links = written(verified(tried, sets_of(rows, members, ends(tried), seed)), "star-links")
     merged = components(links)
 
     grouped = posts.join(merged.withColumnsRenamed({"node": "class", "component": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -343,8 +354,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_posts = written(grouped.join(runs, "token"), "open-prefixes")
     light = open_posts.where(F.col("size") <= LIGHT)
     cross = light.alias("p").join(light.alias("q"), F.expr("p.token = q.token AND p.class < q.class AND p.comp <> q.comp AND " + _bound_ok("p", "q")))
-    pairs = cross.selectExpr("p.class AS a", "q.class AS b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(verified(pairs, sets).unionByName(_heavy_links(open_posts.where(F.col("size") > LIGHT), sets, deal)), "cross-links")
+    pairs = written(cross.selectExpr("p.class AS a", "q.class AS b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    heavy = open_posts.where(F.col("size") > LIGHT)
+    sets = sets_of(rows, members, ends(pairs).unionByName(heavy.select("class")).distinct(), seed)
+    more = written(verified(pairs, sets).unionByName(_heavy_links(heavy, sets, deal)), "cross-links")
     return members, components(links.unionByName(more))
 
 

@@ -56,7 +56,7 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21):
+def pieces(offsets: np.ndarray, most: int = (1 << 20) - 1):
     """Ranges of rows of about `most` bytes; a longer row is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
