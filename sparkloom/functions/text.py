@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters with marks and the letters without.
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -93,7 +94,7 @@ def term_frequency(s: Column, words: list[str]) -> Column:
     return F.size(F.filter(own, lambda w: w.isin(*words)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, which no built-in function has."""
     import unicodedata
@@ -101,7 +102,7 @@ def normalize_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def weighted_levenshtein(a: pd.Series, b: pd.Series, insert: pd.Series, delete: pd.Series, change: pd.Series) -> pd.Series:
     """Edit distance with costs; Spark's own has unit costs only."""
 

@@ -30,6 +30,6 @@ sql(
 )
 sql(
     "win_json_agg",
-    "SELECT n_nationkey, array_join(sort_array(collect_list(n_name) FILTER (WHERE n_nationkey % 2 = 0) OVER (PARTITION BY n_regionkey)), ',') AS j FROM nation",
+    "SELECT n_nationkey, array_join(sort_array(collect_list(CASE WHEN n_nationkey % 2 = 0 THEN n_name END) OVER (PARTITION BY n_regionkey)), ',') AS j FROM nation",
     "SELECT n_nationkey, coalesce(array_to_string(list_sort(list(n_name) FILTER (WHERE n_nationkey % 2 = 0) OVER (PARTITION BY n_regionkey)), ','), '') AS j FROM nation",
 )
