@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-A word is the sum of three hashed embeddings (the word trimmed of punctuation, and its first 4 and 6 bytes). Filters of
+A word is the sum of four hashed embeddings (the word trimmed of punctuation, and its first 3, 4 and 5 letters). Filters of
 1, 2 and 3 words run over every position of the whole text, max pooling keeps each filter's strongest response, and a
 logistic layer gives the logit. Training: embeddings start from the log-odds of each bucket among the labelled texts,
 then Adam on minibatches, gradients through the pooled positions only. Thresholds are calibrated by language on labelled
@@ -28,7 +28,8 @@ from .text import pieces, plain, span_hashes, word_bounds
 
 #: Labelled rows of each kind that training takes at most: a documented bound.
 MOST = {1: 3000, 0: 5000}
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
+PREFIXES = (3, 4, 5)
 FOLDS = 5
 #: Frequent function words that tell a text's language.
 FUNCTION_WORDS = {
@@ -43,16 +44,20 @@ _TRIM[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three buckets for each word (uint16) and each row's first word."""
+    """Four buckets for each word and each row's first word."""
     starts, ends, first = word_bounds(raw, offsets)
     a, b = starts.copy(), ends.copy()
+    out = np.empty((len(a), 1 + len(PREFIXES)), dtype=np.uint32)
     if len(a):
         for _ in range(4):
             a += (b - a > 1) & _TRIM[raw[a]]
             b -= (b - a > 1) & _TRIM[raw[b - 1]]
-    out = np.empty((len(a), 3), dtype=np.uint16)
-    for k, most in enumerate((1 << 40, 4, 6)):
-        out[:, k] = span_hashes(raw, a, np.minimum(b, a + most), seed=k) >> np.uint64(48)
+        letter = (raw & 0xC0) != 0x80  # the first byte of each code point
+        places = np.append(np.flatnonzero(letter), len(raw))
+        at = np.cumsum(letter)[a] - 1
+        to = [b, *(np.minimum(b, places[np.minimum(at + n, len(places) - 1)]) for n in PREFIXES)]
+        for k, end in enumerate(to):
+            out[:, k] = span_hashes(raw, a, end, seed=k) >> np.uint64(64 - BUCKETS.bit_length() + 1)
     return out, first
 
 
@@ -92,7 +97,7 @@ class Model:
         begin = first[:-1] + pad * np.arange(len(count))  # two empty words follow each row
         x = np.zeros((len(buckets) + pad * len(count), DIM), dtype=np.float32)
         slot = np.arange(len(buckets)) + pad * np.repeat(np.arange(len(count)), count)
-        x[slot] = self.embed[buckets[:, 0]] + self.embed[buckets[:, 1]] + self.embed[buckets[:, 2]]
+        x[slot] = sum(self.embed[buckets[:, c]] for c in range(buckets.shape[1]))
         out, at = [], []
         for f in self.filters:
             y = x @ f[0]
@@ -128,15 +133,16 @@ def start_from_log_odds(model: Model, rows: list[np.ndarray], y: np.ndarray) ->
         f[:, 0, :] = np.abs(f[:, 0, :]) + 0.3 / len(f)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 5, rate: float = 0.01, seed: int = 7) -> Model:
+def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.02, seed: int = 7) -> Model:
     """rows: the buckets of each text; y: 0 or 1. A fifth of the rows calibrates the thresholds."""
     model, rng = Model(seed), np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
     start_from_log_odds(model, [rows[i] for i in fit], y[fit])
     weight = np.where(y == 1, 0.5 / max(1, y[fit].sum()), 0.5 / max(1, (1 - y[fit]).sum())) * len(fit)
-    params = {"embed": model.embed, "out": model.out, **{f"f{k}": f for k, f in enumerate(model.filters)}}
+    params = {"out": model.out, **{f"f{k}": f for k, f in enumerate(model.filters)}}
     m, v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
+    embed_m, embed_v = np.zeros_like(model.embed), np.zeros_like(model.embed)
     bias_m = bias_v = 0.0
     step = 0
     for _ in range(epochs):
@@ -147,8 +153,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 5, rate: float =
             pool, places, x, slot, _ = model.pooled(buckets, first, True)
             p = 1 / (1 + np.exp(-np.clip(pool @ model.out + model.bias, -30, 30)))
             g = ((p - y[at]) * weight[at] / len(at)).astype(np.float32)
-            grad = {"out": pool.T @ g, "embed": np.zeros_like(model.embed)}
-            gx: dict[int, np.ndarray] = {}
+            grad = {"out": pool.T @ g}
+            rows_hit, grads_hit = [], []
             back = np.full(len(x), -1, np.int64)
             back[slot] = np.arange(len(slot))
             for k, f in enumerate(model.filters):
@@ -160,16 +166,23 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 5, rate: float =
                     word = back[where.ravel()]
                     good = word >= 0
                     each = (gp[:, :, None] * f[j].T[None, :, :]).reshape(-1, DIM)[good]
-                    for c in range(3):
-                        np.add.at(grad["embed"], buckets[word[good], c], each)
+                    for c in range(buckets.shape[1]):
+                        rows_hit.append(buckets[word[good], c])
+                        grads_hit.append(each)
                 grad[f"f{k}"] = gf
-            del gx
             step += 1
             fix = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, q in params.items():
                 m[k] += 0.1 * (grad[k] - m[k])
                 v[k] += 0.001 * (grad[k] ** 2 - v[k])
                 q -= fix * m[k] / (np.sqrt(v[k]) + 1e-8)
+            # of the embeddings only the buckets behind a pooled response change
+            hit, where = np.unique(np.concatenate(rows_hit), return_inverse=True)
+            ge = np.zeros((len(hit), DIM), np.float32)
+            np.add.at(ge, where, np.concatenate(grads_hit))
+            embed_m[hit] += 0.1 * (ge - embed_m[hit])
+            embed_v[hit] += 0.001 * (ge**2 - embed_v[hit])
+            model.embed[hit] -= fix * embed_m[hit] / (np.sqrt(embed_v[hit]) + 1e-8)
             gb = float(g.sum())
             bias_m, bias_v = bias_m + 0.1 * (gb - bias_m), bias_v + 0.001 * (gb * gb - bias_v)
             model.bias = np.float32(model.bias - fix * bias_m / (np.sqrt(bias_v) + 1e-8))
@@ -188,10 +201,12 @@ def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray) -> None:
     def best(z: np.ndarray, label: np.ndarray) -> float:
         order = np.argsort(-z, kind="stable")
         z, label = z[order], label[order]
-        hit = np.cumsum(label)
-        f1 = 2 * hit / (np.arange(1, len(z) + 1) + label.sum())
-        k = int(len(f1) - 1 - f1[::-1].argmax())
-        return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
+        # errors of each cut, both kinds weighing alike per row; among equal cuts the one in the middle of the widest gap
+        wrong = np.concatenate([[label.sum()], label.sum() - np.cumsum(label) + np.cumsum(1 - label)])
+        edge = np.concatenate([[z[0] + 1], z, [z[-1] - 1]])
+        gap = np.where(wrong == wrong.min(), edge[:-1] - edge[1:], -1)
+        k = int(gap.argmax())
+        return float((edge[k] + edge[k + 1]) / 2)
 
     overall = best(logit, y) if y.any() and not y.all() else 0.0
     for x in range(len(LANGUAGES)):
@@ -225,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if got["toxic"].nunique() < 2:
         return None
     got = got.sort_values(["toxic", "data"], kind="stable")  # the same model whatever the partitions
-    return train([np.frombuffer(d, np.uint16).reshape(-1, 3) for d in got["data"]], got["toxic"].to_numpy().astype(np.int64))
+    return train([np.frombuffer(d, np.uint32).reshape(-1, 1 + len(PREFIXES)) for d in got["data"]], got["toxic"].to_numpy().astype(np.int64))
 
 
 def _score(sent):
