@@ -102,8 +102,11 @@ def predict(df: DataFrame, target: str, features: Sequence[str] | None = None, t
     registry = registry or Registry.new(df.sparkSession)
     path = registry.lookup(table, names, target, task)
     if path is None:
-        path = registry.save(train(df.where(train_where) if train_where else df, target, names, task), table, names, target, task)
-    out = PipelineModel.load(path).transform(typed(df.where(where) if where else df, names))
+        model = train(df.where(train_where) if train_where else df, target, names, task)
+        registry.save(model, table, names, target, task)
+    else:
+        model = PipelineModel.load(path)
+    out = model.transform(typed(df.where(where) if where else df, names))
     extra = []
     if task != "value":
         from pyspark.ml.functions import vector_to_array
