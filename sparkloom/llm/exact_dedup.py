@@ -17,11 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import maybe_in
 from .runtime import drop, written
 
-#: Longs in the filter of hit digests: 4 Mbit, whatever the input; a full filter only lets more rows through to the join.
-FILTER_WORDS = 1 << 16
-
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -36,58 +34,39 @@ class MergeIndex:
     def texts(self) -> Column:
         return F.coalesce(self.docs[self.text_col].cast("string"), F.lit(""))
 
+    def key(self) -> Column:
+        return self.digest(self.texts())
+
     def flush(self) -> DataFrame:
         """Level 0: a sorted run for each scan task."""
-        rows = self.docs.select(self.digest(self.texts()).alias("digest"), self.docs[self.id_col].cast("long").alias("id"))
-        path_rows = rows.sortWithinPartitions("digest", "id")
-        path_rows = written_with_filter(path_rows, "dedup-runs")
-        return path_rows
+        rows = self.docs.select(self.key().alias("digest"), self.docs[self.id_col].cast("long").alias("id"))
+        return written(rows.sortWithinPartitions("digest", "id"), "dedup-runs", bloom="digest")
 
     @staticmethod
     def compact(runs: DataFrame) -> DataFrame:
         """Level 1: one row a digest. Partial aggregation takes place before the shuffle, so a hot digest is one row a task."""
         merged = runs.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        return written_with_filter(merged.sortWithinPartitions("digest"), "dedup-index")
-
-    def maybe_hit(self, hits: DataFrame) -> Column:
-        """True for every row whose digest is a hit, and for few others: a filter of fixed size in a scalar subquery."""
-        h = F.xxhash64("digest")
-        words = hits.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("i"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int").alias("b"))
-        words = words.groupBy("i").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("w"))
-        every = self.docs.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("i")).join(words, "i", "left")
-        bits = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("bits"))
-        key = F.xxhash64(self.digest(self.texts()))
-        word = F.get(bits.scalar(), F.pmod(key, F.lit(FILTER_WORDS)).cast("int"))
-        return F.getbit(word, F.pmod(F.shiftrightunsigned(key, 32), F.lit(64)).cast("int")) == 1
-
-    def verified(self, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        return written(merged.sortWithinPartitions("digest"), "dedup-index", bloom="digest")
+
+    def verified(self, index: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """The hits, and the digests under which the bytes of the texts differ (None: none)."""
         hits = written(index.where("group_size > 1").select("digest", "keep_id", "group_size"), "dedup-hits")
-        rows = self.docs.where(self.maybe_hit(hits)).select(self.digest(self.texts()).alias("digest"), self.texts().alias("body"))
-        found = rows.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+        rows = self.docs.where(maybe_in(hits, "digest", self.key())).select(self.key().alias("digest"), self.texts().alias("body"))
+        # all bytes are equal if the least and the greatest text are; each task sends two texts a digest at most
+        found = rows.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
         differ = written(found.where("low <> high").select("digest"), "dedup-differ")
         if differ.isEmpty():
             drop(differ)
-            return hits, index, None
-        return hits, index, differ
-
-
-def written_with_filter(df: DataFrame, name: str) -> DataFrame:
-    conf = df.sparkSession
-    from .runtime import work_dir
-
-    path = work_dir(conf, name)
-    df.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-    out = conf.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+            return hits, None
+        return hits, differ
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (the digest in hexadecimal)."""
     lsm = MergeIndex(docs, id_col, text_col, digest)
     runs = lsm.flush()
-    _, index, differ = lsm.verified(lsm.compact(runs))
+    index = lsm.compact(runs)
+    _, differ = lsm.verified(index)
     shape = lambda rows: rows.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", ((F.col("id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
@@ -105,8 +84,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """The rows of docs that stay, with all their columns. Only rows that the filter of hits lets through are shuffled."""
     lsm = MergeIndex(docs, id_col, text_col, digest)
-    hits, _, differ = lsm.verified(lsm.compact(lsm.flush()))
-    maybe = lsm.maybe_hit(hits)
+    runs = lsm.flush()
+    index = lsm.compact(runs)
+    hits, differ = lsm.verified(index)
+    drop(runs, index)
+    maybe = maybe_in(hits, "digest", lsm.key())
     packed = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     rows = docs.where(maybe).select(packed, lsm.digest(lsm.texts()).alias("digest"), lsm.texts().alias("body"), docs[id_col].cast("long").alias("id"))
     joined = rows.join(hits.withColumnRenamed("digest", "hit"), F.col("digest") == F.col("hit"), "left")

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +20,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and a lost executor costs nothing but a reread."""
+def written(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut and a lost executor costs nothing but a reread.
+
+    bloom: a column for which the files get Bloom filters.
+    """
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option(f"parquet.bloom.filter.enabled#{bloom}", "true") if bloom else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -38,8 +42,15 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a batch between the JVM and Python: both sides hold some of them per task.
+BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once per application."""
+    """Sends this package to the executors' Python, once per application, and sees to small batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, None) or "0").rstrip("b") or 0) not in range(1, BATCH + 1):
+        spark.conf.set(key, str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -58,5 +69,30 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that gives memory back when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
