@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import ship, tidy
 from .text import Recent
 
 #: Characters of a block, and words whose ids a worker keeps.
@@ -248,6 +248,7 @@ def _run(sent, pattern: str, keep_ids: bool):
                     ids, texts, size = [], [], 0
         if ids:
             yield block(ids, texts)
+        known.rest()
 
     return run
 
@@ -259,7 +260,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     sent = spark.sparkContext.broadcast((load_ranks(ranks_path), odd_characters()))  # a vocabulary: its size doesn't depend on the data
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(_run(sent, pattern, keep_ids), shape)
+    return rows.mapInArrow(tidy(_run(sent, pattern, keep_ids)), shape)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

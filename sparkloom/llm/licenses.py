@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import ship, tidy
 from .text import mix, pieces, plain, span_hashes, word_bounds
 
 K, WINDOW, BAND = 3, 4, 8
@@ -165,4 +165,4 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     ship(spark)
     sent = spark.sparkContext.broadcast(dict(templates or TEMPLATES))  # the templates: their size doesn't depend on the data
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_run(sent, least), _SHAPE)
+    return rows.mapInArrow(tidy(_run(sent, least)), _SHAPE)

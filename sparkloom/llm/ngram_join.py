@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .filters import maybe_in
-from .runtime import drop, ship, written
+from .runtime import drop, ship, tidy, written
 from .text import mix, pieces, plain, shingles, span_hashes, word_bounds
 
 #: Counters of the frequency sketch (a power of two) and of one of its rows.
@@ -126,9 +126,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_sketch(counted: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches, added up in two levels; SKETCH numbers at the driver."""
     rows = counted.where("part is not null").select("part", "counts")
-    some = rows.repartition(16, "part", F.pmod(F.xxhash64("counts"), F.lit(16))).mapInArrow(_add, "part int, counts binary")
+    some = rows.repartition(16, "part", F.pmod(F.xxhash64("counts"), F.lit(16))).mapInArrow(tidy(_add), "part int, counts binary")
     total = np.zeros(SKETCH, np.int64)
-    for r in some.repartition(8, "part").mapInArrow(_add, "part int, counts binary").toLocalIterator():
+    for r in some.repartition(8, "part").mapInArrow(tidy(_add), "part int, counts binary").toLocalIterator():
         total[r["part"] * SKETCH_ROW : (r["part"] + 1) * SKETCH_ROW] += np.frombuffer(r["counts"], np.int64)
     return total
 
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
     first = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "sa"}), "a")
     both = first.join(sets.withColumnsRenamed({"class": "b", "shingles": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify), "a long, b long")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def ends(pairs: DataFrame) -> DataFrame:
 def sets_of(rows: DataFrame, members: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """(class, shingles) of the wanted classes, from a scan of one row of each and few others."""
     owners = written(members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "set-owners")
-    found = rows.where(maybe_in(owners, "doc_id", F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(_set_rows(seed), "class long, shingles binary")
+    found = rows.where(maybe_in(owners, "doc_id", F.col("doc_id")) | F.col("doc_id").isNull()).select("text").mapInArrow(tidy(_set_rows(seed)), "class long, shingles binary")
     return written(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
 
 
@@ -323,7 +323,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     seed = 0
     while True:
-        counted = written(rows.mapInArrow(_count(seed), _COUNTED), "shingle-counts")
+        counted = written(rows.mapInArrow(tidy(_count(seed)), _COUNTED), "shingle-counts")
         members = counted.where("class is not null").select("doc_id", "h", "n", "class", "proof")
         clash = members.groupBy("class").agg(F.min("proof").alias("x"), F.max("proof").alias("y"), F.min("n").alias("u"), F.max("n").alias("v"))
         if clash.where("x <> y or u <> v").isEmpty():
@@ -331,8 +331,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         seed += 1
     sketch = spark.sparkContext.broadcast(frequency_sketch(counted))  # SKETCH numbers
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    postings = rows.select("text").mapInArrow(_prefixes(sketch, seed), "token long, class long, at long")
-    several = postings.repartition(deal, "token").sortWithinPartitions("token", "class").mapInArrow(_several, "token long, class long, at long")
+    postings = rows.select("text").mapInArrow(tidy(_prefixes(sketch, seed)), "token long, class long, at long")
+    several = postings.repartition(deal, "token").sortWithinPartitions("token", "class").mapInArrow(tidy(_several), "token long, class long, at long")
     several = written(several, "shared-prefixes")
     posts = several.select("token", "class", F.shiftright("at", 32).alias("n"), F.expr("at & 4294967295").alias("pos"))
     # how many shared shingles a class has in its prefix, hence at most in common with anything
@@ -384,7 +384,7 @@ def _heavy_links(posts: DataFrame, sets: DataFrame, deal: int) -> DataFrame:
     open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
     placed = placed.join(open_tiles, "tile", "left_semi").join(sets, "class")
     dealt = placed.select("tile", "half", "class", "comp", "shingles").repartition(deal, "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_tile, "a long, b long")
+    return dealt.mapInArrow(tidy(_tile), "a long, b long")
 
 
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .runtime import ship, written
+from .runtime import give_back, ship, tidy, written
 from .text import Recent
 
 #: Words whose ids a Python worker keeps, parts of the pieces of one length that are numbered on their own.
@@ -59,8 +59,8 @@ class WordIds:
 
     def _whole(self, words: list[str]) -> None:
         known = self.known.young
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
+        for a in range(0, len(words), 1024):
+            part = words[a : a + 1024]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
 
@@ -70,8 +70,8 @@ class WordIds:
     def _letters(self, words: list[str]) -> None:
         known, odd = self.known.young, []
         self._steps(self.bare)
-        for a in range(0, len(words), 16384):
-            parts = [words[b : b + 256] for b in range(a, min(a + 16384, len(words)), 256)]
+        for a in range(0, len(words), 4096):
+            parts = [words[b : b + 256] for b in range(a, min(a + 4096, len(words)), 256)]
             for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype="<u4")
                 cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -141,6 +141,8 @@ def _cut(sent, capacity: int, end: bytes):
                     ids, texts, size = [], [], 0
             if ids:
                 yield block(ids, texts)
+            give_back()
+        coder.known.rest()
 
     return run
 
@@ -153,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         sent = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
-    return rows.mapInArrow(_cut(sent, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_cut(sent, capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- plan
@@ -235,10 +237,10 @@ def _place(sent):
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """pieces with sequence_id and offset; pieces needs doc_id, piece and length (1 to capacity)."""
+    """doc_id, piece, start, length, ids_crc32 of the pieces (length: 1 to capacity), with sequence_id and offset."""
     spark = pieces.sparkSession
     ship(spark)
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     counts = written(salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
@@ -247,4 +249,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = salted.withColumn("at", F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(starts, ["length", "part"]).select(*pieces.columns, (F.col("first") + F.col("at")).alias("rank"))
-    return ranked.mapInArrow(_place(made), pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(_place(made)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -123,6 +123,10 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
+    def rest(self) -> None:
+        """Between tasks: only one generation stays."""
+        self.old = {}
+
     def lacking(self, words: set) -> list:
         """The words without a value; the others are in `young` afterwards."""
         if len(self.young) > self.most:

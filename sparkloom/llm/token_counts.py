@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import maybe_in
-from .runtime import drop, ship, work_dir, written
+from .runtime import drop, ship, tidy, work_dir, written
 
 _CACHE = "version string, digest binary, n_tokens long"
 #: Characters that go to the library in one call.
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str | None = None
     passed = rows.where("maybe").join(state_digests, F.col("digest") == F.col("s"), "left_anti").select("digest", "body")
     firsts = shared.where("d is not null and known is null").select("digest", "body")
     misses = rows.where("not maybe").select("digest", "body").unionByName(passed).unionByName(firsts)
-    found = misses.mapInArrow(_encode(sent, "model" if model_path.endswith(".model") else "json"), "digest binary, n_tokens long")
+    found = misses.mapInArrow(tidy(_encode(sent, "model" if model_path.endswith(".model") else "json")), "digest binary, n_tokens long")
     found.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache_path)
     drop(state)
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

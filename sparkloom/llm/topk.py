@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .runtime import ship, work_dir, written
+from .runtime import ship, tidy, work_dir, written
 
 #: Pivots, vectors of the bounded sample that they are chosen from, and queries of a block.
 PIVOTS, SAMPLE, BLOCK = 32, 2048, 4096
@@ -152,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     lengths = {len(r["v"]) for r in sample}
     mats = {n: (np.array([r["vec_id"] for r in sample if len(r["v"]) == n], np.int64), np.array([r["v"] for r in sample if len(r["v"]) == n], np.int64).reshape(-1, n)) for n in lengths}
     pivots = {n: choose_pivots(x) for n, (_, x) in mats.items() if n}
-    table = written(rows.mapInArrow(_pivot_table(sc.broadcast(pivots)), "vec_id long, v array<long>, d array<double>"), "pivot-table")
+    table = written(rows.mapInArrow(tidy(_pivot_table(sc.broadcast(pivots))), "vec_id long, v array<long>, d array<double>"), "pivot-table")
     asked = table.where(is_query)
     blocks = max(1, -(-asked.count() // BLOCK))
     out = work_dir(spark, "topk")
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 found = np.sort(dots(s[s_ids != i], v))
                 floors.append(int(found[-k]) if len(found) >= k else None)
             sent[n] = (q_ids, q, np.array([d for _, _, d in own], np.float64).reshape(len(own), -1), floors)
-        found = table.mapInArrow(_search(sc.broadcast(sent), k), _RESULT)
+        found = table.mapInArrow(tidy(_search(sc.broadcast(sent), k)), _RESULT)
         found.write.mode("append").parquet(out)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = spark.read.schema(_RESULT).parquet(out).withColumn("rank", F.row_number().over(order))

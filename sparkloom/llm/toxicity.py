@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import give_back, ship, tidy
 from .text import pieces, plain, span_hashes, word_bounds
 
 #: Labelled rows of each kind that training takes at most: a documented bound.
-MOST = {1: 3000, 0: 5000}
+MOST = {1: 2500, 0: 4000}
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5)
 FOLDS = 5
@@ -236,11 +236,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("i"), "i").limit(most) for kind, most in MOST.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # the sum of MOST at most
     rows = docs.select(docs[id_col].cast("long").alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(chosen, "i")
-    got = rows.select("toxic", "text").mapInArrow(_features, "toxic int, data binary").toPandas()
-    if got["toxic"].nunique() < 2:
+    got = rows.select("toxic", "text").mapInArrow(tidy(_features), "toxic int, data binary").toArrow()
+    y = got.column("toxic").to_numpy().astype(np.int64)
+    if not y.any() or y.all():
         return None
-    got = got.sort_values(["toxic", "data"], kind="stable")  # the same model whatever the partitions
-    return train([np.frombuffer(d, np.uint32).reshape(-1, 1 + len(PREFIXES)) for d in got["data"]], got["toxic"].to_numpy().astype(np.int64))
+    data = got.column("data").combine_chunks()
+    each = [np.frombuffer(data[i].as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) if len(data[i].as_buffer()) else np.zeros((0, 1 + len(PREFIXES)), np.uint32) for i in range(len(y))]
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(each[i]), each[i][:64].tobytes()))  # the same model whatever the partitions
+    model = train([each[i] for i in order], y[order])
+    del got, data, each
+    give_back()
+    return model
 
 
 def _score(sent):
@@ -263,7 +269,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # of fixed size
     rows = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col].cast("long")).alias("held_out"))
-    scored = rows.mapInArrow(_score(sent), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(_score(sent)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -280,4 +286,4 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             found = next(_score(sent)(iter([only])))
             yield batch.filter(pa.array(found.column(0).to_numpy() < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
