@@ -7,9 +7,9 @@ looked for between classes and every step below carries class ids and hashes onl
    size and class. The global order is (counter, hash): shingles of much repeated passages come last.
 2. A second scan emits each set's prefix (the 1 - ceil(0.8 n) + n rarest shingles). Dealt by shingle and sorted, a
    streaming pass keeps the shingles of several classes; a run of any length passes through in constant memory.
-   Shingles of one class only can't be shared: a class whose prefix holds u of them overlaps anything in at most n - u.
-3. Star round: in each run the smallest class is paired with the others, if the length filter and the bounds on the
-   overlap allow it. Pairs are made distinct, then verified once: suffix filter, then the exact overlap. Links merge
+   A shingle that no other prefix has may still lie behind the prefix of a larger set, so it bounds no overlap.
+3. Star round: in each run the smallest class is paired with the others, if the length and positional filters
+   allow it. Pairs are made distinct, then verified once: suffix filter, then the exact overlap. Links merge
    classes into components, so that a group of near copies costs one pair a member instead of all pairs.
 4. Runs that still hold several components give the pairs across components. Short runs (up to LIGHT classes) are
    joined on the shingle under all filters. Classes of longer runs form families; a family is cut into blocks by set
@@ -307,10 +307,10 @@ def _tile_links(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _bound_ok(a: str, b: str) -> str:
-    """Length filter, bounds by the classes' caps, and the positional filter at a shared shingle."""
+    """Length filter, and the positional filter at a shared shingle: what both have before it is in both prefixes."""
     least = f"ceil(80 * ({a}.n + {b}.n) / 180)"
     return (
-        f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) AND least({a}.cap, {b}.cap) >= {least} "
+        f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) "
         f"AND least({a}.before, {b}.before) + 1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {least}"
     )
 
@@ -335,15 +335,13 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     several = postings.repartition(deal, "token").sortWithinPartitions("token", "class").mapInArrow(tidy(_several), "token long, class long, at long")
     several = written(several, "shared-prefixes")
     posts = several.select("token", "class", F.shiftright("at", 32).alias("n"), F.expr("at & 4294967295").alias("pos"))
-    # how many shared shingles a class has in its prefix, hence at most in common with anything
-    most = "n - CAST(ceil(80 * n / 100) AS BIGINT) + 1"
-    caps = posts.groupBy("class").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_list("pos")).alias("all_pos"))
-    caps = caps.select("class", F.expr(f"n - ({most}) + m").alias("cap"), "all_pos", "n").where("100 * cap >= 80 * n").drop("n")
-    posts = posts.join(caps, "class").withColumn("before", F.expr("cast(array_position(all_pos, pos) - 1 as bigint)")).drop("all_pos")
+    # how many shared shingles a class has in its prefix before each
+    places = posts.groupBy("class").agg(F.sort_array(F.collect_list("pos")).alias("all_pos"))
+    posts = posts.join(places, "class").withColumn("before", F.expr("cast(array_position(all_pos, pos) - 1 as bigint)")).drop("all_pos")
     posts = written(posts, "bounded-prefixes")
     drop(several)
 
-    first = posts.groupBy("token").agg(F.min(F.struct("n", "class", "pos", "cap", "before")).alias("r"))
+    first = posts.groupBy("token").agg(F.min(F.struct("n", "class", "pos", "before")).alias("r"))
     star = posts.alias("p").join(first.select("token", "r.*").alias("q"), F.col("p.token") == F.col("q.token")).where("p.class <> q.class").where(_bound_ok("p", "q"))
     tried = written(star.selectExpr("least(p.class, q.class) AS a", "greatest(p.class, q.class) AS b").distinct(), "star-pairs")
     links = written(verified(tried, sets_of(rows, members, ends(tried), seed)), "star-links")
