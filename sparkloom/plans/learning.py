@@ -32,8 +32,7 @@ def predict_class(spark, sf_dir):
 
 @query("fm_interaction")
 def fm_interaction(spark, sf_dir):
-    rows = _flagged(spark, sf_dir).where("l_orderkey % 20 = 0")
-    return ml.predict(rows, "big", ["l_extendedprice", "l_discount"], "fm", "lineitem").select("l_orderkey", "l_linenumber", "big", "result", "debug_value")
+    return ml.predict(_flagged(spark, sf_dir), "big", ["l_extendedprice", "l_discount"], "fm", "lineitem").select("l_orderkey", "l_linenumber", "big", "result", "debug_value")
 
 
 @query("model_lookup", "SELECT false AS before, true AS after, false AS other")
