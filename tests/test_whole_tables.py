@@ -1,5 +1,7 @@
 """Queries without an oracle give results for all rows of their tables."""
 
+import numpy as np
+
 from sparkloom.catalog import QUERIES
 
 
@@ -9,3 +11,13 @@ def test_fm_interaction_predicts_every_row(spark, sf_dir):
     want = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(keys)
     assert got.count() == want.count() and got.select(keys).exceptAll(want).isEmpty()
     assert got.where("result is null or debug_value is null").isEmpty()
+
+
+def test_ann_lsh_asks_for_every_hundredth_vector_and_finds_most_neighbours(spark, sf_dir):
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    every = {(q, i) for q in v if q % 100 == 0 for i in v if q != i and np.linalg.norm(v[q] - v[i]) < 1.3}
+    rows = [(r["q"], r["vec_id"], r["d"]) for r in QUERIES["ann_lsh"](spark, sf_dir).collect()]
+    got = {r[:2] for r in rows}
+    assert len(got) == len(rows) and got <= every and len(got) >= 0.9 * len(every)
+    assert {q for q, _ in got} == {q for q, _ in every}
+    assert all(abs(d - np.linalg.norm(v[q] - v[i])) < 2e-6 for q, i, d in rows)
