@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ def quote_nullable(s: Column) -> Column:
     return F.coalesce(quote_literal(s), F.lit("NULL"))
 
 
+def replace_first(s: Column, pattern: str, put: str) -> Column:
+    """The first match of a pattern without groups replaced; what is before it may have line ends."""
+    return F.regexp_replace(s, f"(?s)^(.*?)(?:{pattern})", "$1" + put)
+
+
 def unaccent(s: Column) -> Column:
     return F.translate(s, ACCENTS + ACCENTS.upper().replace("ÿ".upper(), ""), PLAIN + PLAIN.upper()[:-1])
 
@@ -95,29 +101,51 @@ def term_frequency(s: Column, words: list[str]) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC, which no built-in function has."""
+def _nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 
     return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 
 
+def normalize_nfc(s: Column) -> Column:
+    """Unicode NFC, which no built-in function has. ASCII texts are in it already and never go to Python."""
+    ascii_only = s.rlike(r"\A\p{ASCII}*\z")
+    return F.when(ascii_only, s).otherwise(_nfc(F.when(~ascii_only, s)))
+
+
 @F.pandas_udf(T.IntegerType())
 def weighted_levenshtein(a: pd.Series, b: pd.Series, insert: pd.Series, delete: pd.Series, change: pd.Series) -> pd.Series:
-    """Edit distance with costs; Spark's own has unit costs only."""
-
-    def one(x, y, i, d, c):
-        if x is None or y is None:
-            return None
-        row = [j * i for j in range(len(y) + 1)]
-        for k, p in enumerate(x, 1):
-            new = [k * d]
-            for j, q in enumerate(y, 1):
-                new.append(min(row[j] + d, new[-1] + i, row[j - 1] + (0 if p == q else c)))
-            row = new
-        return row[-1]
-
-    return pd.Series([one(*r) for r in zip(a, b, insert, delete, change, strict=True)])
+    """Edit distance with costs; Spark's own has unit costs only. All rows of a batch advance together, a letter of `a` at a time.
+
+    The cost of insertions along a row is a running minimum: cost[j] = min over k <= j of (best[k] - k * insert) + j * insert.
+    """
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series([None] * len(a), dtype="Int32")
+    rows = np.flatnonzero(known)
+    rows = rows[np.argsort(b.iloc[rows].str.len().to_numpy(), kind="stable")]
+    at = 0
+    while at < len(rows):
+        wide = len(b.iloc[rows[at]])
+        n = max(1, min(1024, (1 << 22) // max(1, wide + 1)))  # rows advance together while their table is small
+        part = rows[at : at + n]
+        at += n
+        x, y = ([np.frombuffer(t.encode("utf-32-le"), np.int32) for t in s.iloc[part]] for s in (a, b))
+        i, d, c = (s.iloc[part].to_numpy(np.int64)[:, None] for s in (insert, delete, change))
+        size = np.array([len(t) for t in y])
+        letters = np.full((len(part), int(size.max())), -1, np.int32)
+        for r, t in enumerate(y):
+            letters[r, : len(t)] = t
+        j = np.arange(letters.shape[1] + 1, dtype=np.int64)[None, :]
+        cost = j * i
+        for k in range(max((len(t) for t in x), default=0)):
+            live = np.array([k < len(t) for t in x])
+            letter = np.array([t[k] if k < len(t) else -2 for t in x], np.int32)[:, None]
+            best = cost + d
+            best[:, 1:] = np.minimum(best[:, 1:], cost[:, :-1] + np.where(letters == letter, 0, c))
+            best = np.minimum.accumulate(best - j * i, axis=1) + j * i
+            cost = np.where(live[:, None], best, cost)
+        out.iloc[part] = cost[np.arange(len(part)), size]
+    return out
 
 
 def difference(a: Column, b: Column) -> Column:
