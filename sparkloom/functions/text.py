@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with marks and the letters without.
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+from ..sources.files import stored
+
+#: Letters without a decomposition, and what stands for them.
+SPELLED = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
+STROKED = ("øØđĐðÐłŁħĦŧŦıŋŊ", "oOdDdDlLhHtTinN")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
@@ -42,8 +48,28 @@ def replace_first(s: Column, pattern: str, put: str) -> Column:
     return F.regexp_replace(s, f"(?s)^(.*?)(?:{pattern})", "$1" + put)
 
 
+@functools.cache
+def marked_letters() -> tuple[str, str]:
+    """Letters that Unicode decomposes into one letter and marks, their plain letters, and the marks, which have none."""
+    letters, plain, marks = list(STROKED[0]), list(STROKED[1]), []
+    for code in range(0x80, 0x1F000):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        kinds = [unicodedata.category(p) for p in parts]
+        if len(parts) > 1 and kinds[0] != "Mn" and all(k == "Mn" for k in kinds[1:]):
+            letters.append(c)
+            plain.append(parts[0])
+        elif kinds == ["Mn"] and unicodedata.combining(c):
+            marks.append(c)
+    return "".join(letters + marks), "".join(plain)
+
+
 def unaccent(s: Column) -> Column:
-    return F.translate(s, ACCENTS + ACCENTS.upper().replace("ÿ".upper(), ""), PLAIN + PLAIN.upper()[:-1])
+    """Letters without their marks, by the Unicode decomposition and a few fixed spellings. JVM functions only."""
+    out = F.translate(s, *marked_letters())
+    for c, spelled in SPELLED.items():
+        out = F.replace(out, F.lit(c), F.lit(spelled))
+    return F.when(s.rlike(r"\A\p{ASCII}*\z"), s).otherwise(out)
 
 
 def trigrams(s: Column) -> Column:
@@ -62,13 +88,27 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similarity_join(left_df: DataFrame, right_df: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Pairs of similarity >= least, found by shared trigrams instead of all pairs; columns must have distinct names."""
-    x = left_df.withColumn("__x", trigrams(F.col(a)))
-    y = right_df.withColumn("__y", trigrams(F.col(b)))
-    pairs = x.withColumn("__g", F.explode("__x")).join(y.withColumn("__g", F.explode("__y")), "__g")
-    keys = [*left_df.columns, *right_df.columns]
-    hits = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.size("__x")).alias("__p"), F.first(F.size("__y")).alias("__q"))
-    return hits.withColumn("similarity", F.col("__n") / (F.col("__p") + F.col("__q") - F.col("__n"))).where(F.col("similarity") >= least).select(*keys, "similarity")
+    """Pairs of similarity >= least; columns must have distinct names.
+
+    Two sets as similar as that share one of the n - ceil(least * n) + 1 rarest trigrams of each, so only those are joined;
+    pairs are made distinct and compared once. Counts of trigrams: there are no more of them than triples of characters.
+    """
+    x = left_df.withColumns({"__x": trigrams(F.col(a)), "__i": F.monotonically_increasing_id()})
+    y = right_df.withColumns({"__y": trigrams(F.col(b)), "__j": F.monotonically_increasing_id()})
+    x, y = stored(x.where(F.size("__x") > 0)), stored(y.where(F.size("__y") > 0))
+    grams = x.select(F.explode("__x").alias("g")).unionByName(y.select(F.explode("__y").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+
+    def prefix(df: DataFrame, sets: str, key: str) -> DataFrame:
+        counted = df.select(key, F.size(sets).alias(f"{key}n"), F.explode(sets).alias("g")).join(grams, "g")
+        ordered = counted.groupBy(key, f"{key}n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))  # a text's own trigrams
+        n = F.col(f"{key}n")
+        return ordered.select(key, f"{key}n", F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))).alias("o")).select(key, f"{key}n", "o.g")
+
+    fits = F.least("__in", "__jn") >= F.greatest("__in", "__jn") * F.lit(least)
+    pairs = prefix(x, "__x", "__i").join(prefix(y, "__y", "__j"), "g").where(fits).select("__i", "__j").distinct()
+    both = F.size(F.array_intersect("__x", "__y"))
+    hits = pairs.join(x, "__i").join(y, "__j").withColumn("similarity", both / (F.size("__x") + F.size("__y") - both))
+    return hits.where(F.col("similarity") >= least).select(*left_df.columns, *right_df.columns, "similarity")
 
 
 def terms(s: Column) -> Column:
@@ -102,8 +142,6 @@ def term_frequency(s: Column, words: list[str]) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    import unicodedata
-
     return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 
 

@@ -92,18 +92,27 @@ sql(
 )
 sql("metric_mse", "SELECT round(avg((l_extendedprice - 1500 * l_quantity) * (l_extendedprice - 1500 * l_quantity)), 2) AS mse FROM lineitem", "SELECT round(avg((l_extendedprice - 1500 * l_quantity) * (l_extendedprice - 1500 * l_quantity)), 2) AS mse FROM lineitem")
 
-# ---- vectors: a stated query set (vec_id < 5, in ann_lsh vec_id % 100 = 0) against all rows; the top k is kept per query before the shuffle
+# ---- vectors: a stated query set (vec_id % 100 = 0, in blocks) against all rows; the top k is kept per query before the shuffle
+
+
+def asked_blocks(vectors: DataFrame, block: int = ASKED) -> list[DataFrame]:
+    """The query vectors (q, v) in parts of about `block` rows, so that each may be broadcast."""
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    blocks = -(-asked.count() // block) or 1
+    return [asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) for i in range(blocks)]
 
 
 def _nearest(spark, sf_dir, distance, k=10):
+    """Each block of queries is broadcast and meets all rows; a task keeps k rows a query before the shuffle."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")))  # 5 rows
-    d = e.join(asked, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(distance(F.col("embedding"), F.col("v")), 6).alias("d"))
-    return d.withColumn("rk", F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("rk") <= k).select("q", "vec_id", "rk", "d")
+    rounded = F.round(distance(F.col("embedding"), F.col("v")), 6).alias("d")
+    found = [e.join(F.broadcast(part), F.col("vec_id") != F.col("q")).select("q", "vec_id", rounded) for part in asked_blocks(e)]
+    ranked = [d.withColumn("rk", F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("rk") <= k) for d in found]
+    return reduce(DataFrame.unionByName, ranked).select("q", "vec_id", "rk", "d")
 
 
 KNN = """SELECT q, vec_id, rk::INT AS rk, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rk FROM (
-  SELECT x.vec_id AS q, e.vec_id, round({}, 6) AS d FROM embeddings e JOIN embeddings x ON x.vec_id < 5 AND e.vec_id <> x.vec_id) a) b WHERE rk <= 10"""
+  SELECT x.vec_id AS q, e.vec_id, round({}, 6) AS d FROM embeddings e JOIN embeddings x ON x.vec_id % 100 = 0 AND e.vec_id <> x.vec_id) a) b WHERE rk <= 10"""
 
 
 @query("knn_l2", KNN.format("list_distance(e.embedding::DOUBLE[], x.embedding::DOUBLE[])"))
