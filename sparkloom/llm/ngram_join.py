@@ -42,6 +42,8 @@ from .text import mix, pieces, plain, shingles, span_hashes, word_bounds
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
 #: Classes of a run up to which it is joined pair by pair, and classes of a block of a family.
 LIGHT, BLOCK = 64, 256
+#: Classes that a task remembers as sent; what it sends again is made distinct later on.
+SEEN = 1 << 16
 _U = np.uint64
 
 
@@ -144,6 +146,8 @@ def _prefixes(sent, seed: int):
                 name = digests(own)[0]
                 if not n or name in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(name)
                 most = n - need(n) + 1
                 order = np.argsort(sketch[(own >> shift).astype(np.int64)], kind="stable")[:most]
@@ -200,6 +204,8 @@ def _set_rows(seed: int):
             for _, own in row_sets(batch.column(0), seed):
                 name = digests(own)[0]
                 if len(own) and name not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(name)
                     names.append(name)
                     data.append(own.tobytes())
@@ -334,6 +340,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     postings = rows.select("text").mapInArrow(tidy(_prefixes(sketch, seed)), "token long, class long, at long")
     several = postings.repartition(deal, "token").sortWithinPartitions("token", "class").mapInArrow(tidy(_several), "token long, class long, at long")
     several = written(several, "shared-prefixes")
+    sketch.destroy()
     posts = several.select("token", "class", F.shiftright("at", 32).alias("n"), F.expr("at & 4294967295").alias("pos"))
     # how many shared shingles a class has in its prefix before each
     places = posts.groupBy("class").agg(F.sort_array(F.collect_list("pos")).alias("all_pos"))

@@ -29,7 +29,7 @@ from .runtime import give_back, ship, tidy, written
 from .text import Recent
 
 #: Words whose ids a Python worker keeps, parts of the pieces of one length that are numbered on their own.
-KEEP, PARTS = 180_000, 256
+KEEP, PARTS = 20_000, 256
 _WORKER: dict = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -56,6 +56,8 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known = Recent(KEEP)
+        del vocabulary
+        give_back()  # what reading the vocabulary took
 
     def _whole(self, words: list[str]) -> None:
         known = self.known.young
@@ -136,12 +138,11 @@ def _cut(sent, capacity: int, end: bytes):
                 ids.append(i)
                 texts.append(t.as_py())
                 size += len(texts[-1])
-                if size >= 2 << 20:
+                if size >= 1 << 19:
                     yield block(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
                 yield block(ids, texts)
-            give_back()
         coder.known.rest()
 
     return run

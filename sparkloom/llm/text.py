@@ -13,6 +13,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _STATE: dict = {}
+#: Bytes of a piece of rows (longer rows are pieces of their own), and powers that a worker keeps.
+PIECE, KEPT_POWERS = 1 << 17, (1 << 17) + 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,13 +35,16 @@ def _byte_codes(seed: int) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those of longer pieces than usual are not kept."""
     have = _STATE.get("powers")
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(KEPT_POWERS, n)
         base = 0xD1342543DE82EF95
         up, down = np.full(size, _U(base)), np.full(size, _U(pow(base, -1, 1 << 64)))
         up[0] = down[0] = _U(1)
-        have = _STATE["powers"] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if size == KEPT_POWERS:
+            _STATE["powers"] = have
     return have
 
 
@@ -56,7 +61,7 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(offsets: np.ndarray, most: int = (1 << 20) - 1):
+def pieces(offsets: np.ndarray, most: int = PIECE):
     """Ranges of rows of about `most` bytes; a longer row is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -118,17 +123,26 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
 
 
 class Recent:
-    """What a Python worker has worked out for words: two generations of at most `most` words and one block's new ones."""
+    """What a Python worker has worked out for words: two generations of at most `most` words and one block's new ones.
+
+    Words of more than LONG characters stay for their block only, so the bytes are bounded as well.
+    """
+
+    LONG = 64
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.long = most, {}, {}, []
 
     def rest(self) -> None:
         """Between tasks: only one generation stays."""
-        self.old = {}
+        for w in self.long:
+            self.young.pop(w, None)
+        self.old, self.long = {}, []
 
     def lacking(self, words: set) -> list:
         """The words without a value; the others are in `young` afterwards."""
+        for w in self.long:
+            self.young.pop(w, None)
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old, out = self.young, self.old, []
@@ -138,4 +152,5 @@ class Recent:
                     young[w] = old[w]
                 else:
                     out.append(w)
+        self.long = [w for w in out if len(w) > self.LONG]
         return out

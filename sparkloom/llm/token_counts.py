@@ -23,7 +23,9 @@ from .runtime import drop, ship, tidy, work_dir, written
 
 _CACHE = "version string, digest binary, n_tokens long"
 #: Characters that go to the library in one call.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Digests that a task remembers as encoded.
+SEEN = 1 << 16
 
 
 def counter(model: bytes, kind: str):
@@ -49,6 +51,8 @@ def _encode(sent, kind: str):
         count, seen = None, set()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            if len(seen) > SEEN:
+                seen.clear()
             todo = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
             counts, part, size = [], [], 0
             for i in todo:

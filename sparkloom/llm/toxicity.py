@@ -7,7 +7,8 @@ then Adam on minibatches, gradients through the pooled positions only. Threshold
 rows that training doesn't see, where the language is guessed from the text itself (frequent function words), never read
 from a column; the logit is shifted so that a score of 0.5 is the threshold.
 
-Labels come from at most MOST labelled rows of the learning folds, taken by a hash of the id; all else covers all rows.
+Labels come from at most MOST labelled rows (BYTES of features) of the learning folds, taken by a hash of the id; all else
+covers all rows.
 
 Defined results. A null or empty text gets the score of no words. Repeated rows and null ids each get a row; a null id is
 not held out. Labels that are null or without a document are not used; without labels of both kinds every score is 0.
@@ -16,18 +17,22 @@ An empty table gives an empty result. Other columns are never looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .runtime import give_back, ship, tidy
+from .runtime import drop, give_back, ship, tidy, written
 from .text import pieces, plain, span_hashes, word_bounds
 
 #: Labelled rows of each kind that training takes at most: a documented bound.
 MOST = {1: 2500, 0: 4000}
+#: Bytes of their features (16 a word) that training takes at most: a documented bound as well.
+BYTES = {1: 8 << 20, 0: 12 << 20}
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5)
 FOLDS = 5
@@ -67,11 +72,17 @@ def language_words() -> tuple[np.ndarray, np.ndarray]:
     return features(raw, off)[0][:, 0], np.array([x for _, x in words])
 
 
-def guess_languages(buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The language whose function words a row has most of; `other` without any."""
+@functools.cache
+def _language_table() -> np.ndarray:
     keys, lang = language_words()
     table = np.zeros((len(LANGUAGES) - 1, BUCKETS), dtype=bool)
     table[lang, keys] = True
+    return table
+
+
+def guess_languages(buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The language whose function words a row has most of; `other` without any."""
+    table = _language_table()
     counts = np.zeros((len(first) - 1, len(LANGUAGES) - 1), np.int64)
     for x in range(len(LANGUAGES) - 1):
         total = np.concatenate([[0], np.cumsum(table[x][buckets[:, 0]])])
@@ -194,9 +205,13 @@ def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray) -> None:
     """For each guessed language the logit that separates the held rows best, midway between its neighbours; few rows go by all."""
     if not rows:
         return
-    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    buckets = np.concatenate(rows)
-    logit, lang = model.logits(buckets, first), guess_languages(buckets, first)
+    logit, lang = [], []
+    for a in range(0, len(rows), 64):
+        part = rows[a : a + 64]
+        buckets, first = np.concatenate(part), np.concatenate([[0], np.cumsum([len(r) for r in part])])
+        logit.append(model.logits(buckets, first))
+        lang.append(guess_languages(buckets, first))
+    logit, lang = np.concatenate(logit), np.concatenate(lang)
 
     def best(z: np.ndarray, label: np.ndarray) -> float:
         order = np.argsort(-z, kind="stable")
@@ -221,14 +236,19 @@ def held_out(id_col: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = plain(batch.column(1))
-        buckets, first = features(raw, off)
-        data = [buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["toxic", "data"])
+        raw_all, off_all = plain(batch.column(2))
+        for x, y in pieces(off_all):
+            raw, off = raw_all[off_all[x] : off_all[y]], off_all[x : y + 1] - off_all[x]
+            buckets, first = features(raw, off)
+            data = [buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], batch.column(1)[x:y], pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=["i", "toxic", "size", "data"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from at most MOST labelled rows outside the held-out fold; None without labels of both kinds."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets and labels of at most MOST labelled rows outside the held-out fold, and of at most BYTES of features.
+
+    Rows are taken by a hash of the id, one row an id; the features stay in the shared folder until they are chosen.
+    """
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("toxic")).where(~held_out(F.col("i")) & F.col("i").isNotNull())
@@ -236,15 +256,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("i"), "i").limit(most) for kind, most in MOST.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # the sum of MOST at most
     rows = docs.select(docs[id_col].cast("long").alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).join(chosen, "i")
-    got = rows.select("toxic", "text").mapInArrow(tidy(_features), "toxic int, data binary").toArrow()
+    found = written(rows.select("i", "toxic", "text").mapInArrow(tidy(_features), "i long, toxic int, size long, data binary"), "toxicity-features")
+    # of the rows of an id one with the fewest words; no id has more than one row from here on
+    one = found.groupBy("i", "toxic").agg(F.min(F.struct("size", F.xxhash64("data").alias("h"))).alias("r")).select("i", "toxic", "r.*")
+    total = F.sum("size").over(W.partitionBy("toxic").orderBy(F.xxhash64("i"), "i").rowsBetween(W.unboundedPreceding, 0))  # the sum of MOST rows at most
+    taken = one.withColumn("total", total).where(F.col("total") <= F.when(F.col("toxic") == 1, BYTES[1]).otherwise(BYTES[0])).select("i", "size", "h")
+    few = found.withColumn("h", F.xxhash64("data")).join(F.broadcast(taken), ["i", "size", "h"]).dropDuplicates(["i"])
+    got = few.select("toxic", "data").toArrow()  # the sum of BYTES at most
+    drop(found)
     y = got.column("toxic").to_numpy().astype(np.int64)
-    if not y.any() or y.all():
-        return None
     data = got.column("data").combine_chunks()
     each = [np.frombuffer(data[i].as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) if len(data[i].as_buffer()) else np.zeros((0, 1 + len(PREFIXES)), np.uint32) for i in range(len(y))]
     order = sorted(range(len(y)), key=lambda i: (y[i], len(each[i]), each[i][:64].tobytes()))  # the same model whatever the partitions
-    model = train([each[i] for i in order], y[order])
-    del got, data, each
+    return [each[i] for i in order], y[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """A model from the bounded sample of labelled rows; None without labels of both kinds."""
+    rows, y = sample(docs, labels, id_col, text_col, label_col)
+    model = train(rows, y) if y.any() and not y.all() else None
+    del rows
     give_back()
     return model
 
@@ -255,7 +286,7 @@ def _score(sent):
         for batch in batches:
             raw_all, off_all = plain(batch.column(0))
             out = [np.zeros(0)]
-            for a, b in pieces(off_all, 1 << 20):
+            for a, b in pieces(off_all):
                 raw, off = raw_all[off_all[a] : off_all[b]], off_all[a : b + 1] - off_all[a]
                 out.append(model.scores(*features(raw, off)) if model is not None else np.zeros(b - a))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(out), pa.float64())], names=[*batch.schema.names[1:], "score"])
