@@ -2,9 +2,12 @@
 
 The score is the inner product of integer vectors. Every vector's distances to PIVOTS pivots are computed once and stored
 beside it; |d(q, p) - d(x, p)|, at its maximum over the pivots, is a lower bound of d(q, x), and so
-(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the score. A task evaluates a query's candidates in the order of that
-bound and stops when the next bound is below its k-th best score; a first k-th best comes from the pivot sample, so
-tasks send only candidates that may be in the result. Queries go out in blocks of a fixed size, each against all rows.
+(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the score. The pivot table is sorted by nearest pivot and the distance to
+it, so that a chunk of rows has narrow ranges of distances: for all queries at once, a chunk's ranges bound the scores of
+all its rows, and a task takes the chunks that it holds in the order of those bounds and stops when a chunk's bound is below
+the k-th best score. Within a chunk a query's candidates are evaluated in the order of their own bounds, until exact
+stopping. A first k-th best comes from the pivot sample, so tasks send only candidates that may be in the result. Queries
+go out in blocks of a fixed size, each against all rows.
 
 Defined results. Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Only
 vectors of the query's length are its candidates. A repeated row is a candidate of its own, but never a row with the
@@ -22,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .runtime import ship, tidy, work_dir, written
+from .runtime import drop, ship, tidy, work_dir, written
 
 #: Pivots, vectors of the bounded sample that they are chosen from, and queries of a block.
 PIVOTS, SAMPLE, BLOCK = 32, 2048, 4096
-#: Vectors that a task bounds at a time, and candidates that it evaluates at a time.
-CHUNK, STEP = 2048, 64
+#: Vectors of a chunk, vectors that a task holds to order their chunks, and candidates that it evaluates at a time.
+CHUNK, HELD, STEP = 256, 1 << 15, 64
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -71,12 +74,15 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _pivot_table(sent):
     def run(batches):
         for batch in batches:
-            table = [None] * batch.num_rows
+            table, near = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int32)
+            at = np.zeros(batch.num_rows)
             for rows, x in by_length(batch.column(1)):
                 d = distances(x, sent.value[x.shape[1]]) if x.shape[1] in sent.value else np.zeros((len(x), 0))
+                if d.shape[1]:
+                    near[rows], at[rows] = d.argmin(axis=1), d.min(axis=1)
                 for r, values in zip(rows.tolist(), d, strict=True):
                     table[r] = values
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table, pa.list_(pa.float64()))], names=["vec_id", "v", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table, pa.list_(pa.float64())), pa.array(near), pa.array(at)], names=["vec_id", "v", "d", "near", "at"])
 
     return run
 
@@ -104,46 +110,73 @@ def _search(sent, k: int):
     def run(batches):
         blocks = sent.value
         best = {n: [Best(k, f) for f in floors] for n, (_, _, _, floors) in blocks.items()}
-        for batch in batches:
-            ids, table = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        evaluated = {n: np.zeros(len(b), np.int64) for n, b in best.items()}
+        for ids, vectors, table in held(batches):
             width = np.diff(table.offsets.to_numpy())
             flat, first = table.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(width)])
-            for rows, x in by_length(batch.column(1)):
+            for rows, x in by_length(vectors):
                 n = x.shape[1]
-                if n not in blocks:
-                    continue
-                q_ids, q, q_d, _ = blocks[n]
-                for a in range(0, len(rows), CHUNK):
-                    part, own = rows[a : a + CHUNK], x[a : a + CHUNK]
-                    d = flat[(first[part][:, None] + np.arange(q_d.shape[1])).ravel()].reshape(len(part), -1)
-                    _chunk(q_ids, q, q_d, best[n], ids[part], own, d)
+                if n in blocks:
+                    q_ids, q, q_d, _ = blocks[n]
+                    d = flat[(first[rows][:, None] + np.arange(q_d.shape[1])).ravel()].reshape(len(rows), -1)
+                    _evaluate(q_ids, q, q_d, best[n], evaluated[n], ids[rows], x, d)
         for n, (q_ids, _, _, _) in blocks.items():
             out = [(i, x, s) for i, b in zip(q_ids.tolist(), best[n], strict=True) for x, s in zip(b.id.tolist(), b.score.tolist(), strict=True)]
+            out += [(i, None, int(c)) for i, c in zip(q_ids.tolist(), evaluated[n], strict=True) if c]  # how many were evaluated
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _chunk(q_ids, q, q_d, best, ids, x, d) -> None:
-    norm = (x.astype(np.float64) ** 2).sum(axis=1)
+def held(batches) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+    """Batches put together to about HELD rows: their ids, vectors and pivot distances."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            t = pa.Table.from_batches(some).combine_chunks()
+            yield t.column(0).to_numpy(), t.column(1).combine_chunks(), t.column(2).combine_chunks()
+            some, size = [], 0
+    if size:
+        t = pa.Table.from_batches(some).combine_chunks()
+        yield t.column(0).to_numpy(), t.column(1).combine_chunks(), t.column(2).combine_chunks()
+
+
+def _evaluate(q_ids, q, q_d, best, evaluated, ids, x, d) -> None:
+    """All queries against rows sorted by nearest pivot: chunk after chunk of the highest bound, until none may hold more."""
+    norm, q_norm = (x.astype(np.float64) ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
+    cuts = np.arange(0, len(x), CHUNK)
+    top = np.maximum.reduceat(norm, cuts)
+    upper = np.full((len(q), len(cuts)), np.inf)
+    if d.shape[1]:
+        low, high = np.minimum.reduceat(d, cuts, axis=0), np.maximum.reduceat(d, cuts, axis=0)
+        for c in range(len(cuts)):
+            gap = np.maximum(low[c] - q_d, q_d - high[c]).max(axis=1).clip(min=0)
+            upper[:, c] = (top[c] + q_norm - gap**2) / 2
+        upper += 1e-9 * (top[None, :] + q_norm[:, None]) + 0.5  # room for rounding; scores are whole numbers
     for i in range(len(q)):
-        lower = np.abs(d - q_d[i]).max(axis=1) if d.shape[1] else np.zeros(len(x))
-        both = norm + float((q[i].astype(np.float64) ** 2).sum())
-        upper = (both - lower**2) / 2 + 1e-9 * both + 0.5  # room for rounding; scores are whole numbers
-        live = np.flatnonzero((upper >= best[i].least()) & (ids != q_ids[i]))
-        if not len(live):
-            continue
-        live = live[np.argsort(-upper[live])]
-        for a in range(0, len(live), STEP):
-            if upper[live[a]] < best[i].least():
+        b, order = best[i], np.argsort(-upper[i], kind="stable")
+        for c in order.tolist():
+            if upper[i, c] < b.least():
                 break
-            at = live[a : a + STEP]
-            best[i].add(dots(x[at], q[i]), ids[at])
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows for each row of vectors that is_query holds for (a condition on vec_id)."""
+            at = slice(cuts[c], min(cuts[c] + CHUNK, len(x)))
+            lower = np.abs(d[at] - q_d[i]).max(axis=1) if d.shape[1] else np.zeros(at.stop - at.start)
+            both = norm[at] + q_norm[i]
+            bound = (both - lower**2) / 2 + 1e-9 * both + 0.5
+            live = np.flatnonzero((bound >= b.least()) & (ids[at] != q_ids[i]))
+            live = live[np.argsort(-bound[live])]
+            for a in range(0, len(live), STEP):
+                if bound[live[a]] < b.least():
+                    break
+                some = live[a : a + STEP] + at.start
+                evaluated[i] += len(some)
+                b.add(dots(x[some], q[i]), ids[some])
+
+
+def found(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
+    """query_id, vec_id, score of all tasks' candidates; rows of a null vec_id say how many vectors a task evaluated for a query."""
     spark = vectors.sparkSession
     ship(spark)
     sc = spark.sparkContext
@@ -151,29 +184,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
     lengths = {len(r["v"]) for r in sample}
     mats = {n: (np.array([r["vec_id"] for r in sample if len(r["v"]) == n], np.int64), np.array([r["v"] for r in sample if len(r["v"]) == n], np.int64).reshape(-1, n)) for n in lengths}
-    pivots = {n: choose_pivots(x) for n, (_, x) in mats.items() if n}
-    table = written(rows.mapInArrow(tidy(_pivot_table(sc.broadcast(pivots))), "vec_id long, v array<long>, d array<double>"), "pivot-table")
-    asked = table.where(is_query)
+    pivots = sc.broadcast({n: choose_pivots(x) for n, (_, x) in mats.items() if n})  # PIVOTS vectors a length of the sample
+    near = rows.mapInArrow(tidy(_pivot_table(pivots)), "vec_id long, v array<long>, d array<double>, near int, at double")
+    table = written(near.sortWithinPartitions("near", "at").select("vec_id", "v", "d"), "pivot-table")
+    pivots.destroy()
+    # a query id that repeats is one row before anything is collected
+    asked = written(table.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "d")).alias("r")).select("vec_id", "r.*"), "topk-queries")
     blocks = max(1, -(-asked.count() // BLOCK))
     out = work_dir(spark, "topk")
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        once: dict[int, tuple] = {}
-        for r in part.collect():  # about BLOCK rows
-            if r["vec_id"] not in once or (r["v"], r["d"]) < once[r["vec_id"]]:
-                once[r["vec_id"]] = (r["v"], r["d"])
+        once = [(r["vec_id"], r["v"], r["d"]) for r in part.collect()]  # about BLOCK rows
         sent = {}
-        for n in {len(v) for v, _ in once.values()}:
-            own = sorted((i, v, d) for i, (v, d) in once.items() if len(v) == n)
+        for n in {len(v) for _, v, _ in once}:
+            own = sorted(x for x in once if len(x[1]) == n)
             q_ids, q = np.array([i for i, _, _ in own], np.int64), np.array([v for _, v, _ in own], np.int64).reshape(-1, n)
             s_ids, s = mats.get(n, (np.zeros(0, np.int64), np.zeros((0, n), np.int64)))
             floors = []
             for i, v in zip(q_ids, q, strict=True):
-                found = np.sort(dots(s[s_ids != i], v))
-                floors.append(int(found[-k]) if len(found) >= k else None)
+                some = np.sort(dots(s[s_ids != i], v))
+                floors.append(int(some[-k]) if len(some) >= k else None)
             sent[n] = (q_ids, q, np.array([d for _, _, d in own], np.float64).reshape(len(own), -1), floors)
-        found = table.mapInArrow(tidy(_search(sc.broadcast(sent), k)), _RESULT)
-        found.write.mode("append").parquet(out)
+        block = sc.broadcast(sent)  # about BLOCK vectors
+        table.mapInArrow(tidy(_search(block, k)), _RESULT).write.mode("append").parquet(out)
+        block.destroy()
+    drop(table, asked)
+    return spark.read.schema(_RESULT).parquet(out)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows for each row of vectors that is_query holds for (a condition on vec_id)."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = spark.read.schema(_RESULT).parquet(out).withColumn("rank", F.row_number().over(order))
+    ranked = found(vectors, is_query, k, id_col, vec_col, scale).where("vec_id is not null").withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def evaluated(candidates: DataFrame) -> DataFrame:
+    """query_id, evaluated: for how many vectors the score itself was computed (of what found() gives)."""
+    return candidates.where("vec_id is null").groupBy("query_id").agg(F.sum("score").alias("evaluated"))
