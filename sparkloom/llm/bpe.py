@@ -3,8 +3,9 @@
 All distinct words of a block of the corpus are laid out as one array of tokens. An inverted index holds, for each rank,
 the positions of the pairs that merge into that rank's token; ranks are replayed from the lowest, each over all words at
 once, and a merge looks up only the two pairs beside it. A pair of a lower rank that a merge brings about is replayed
-before anything else, and of a word's occurrences of a rank the leftmost goes first, so the ids are those of merging each
-word on its own by lowest rank. Words that are tokens themselves are taken whole.
+before anything else: of a word's occurrences of a rank, those up to the first that brings such a pair go at once, so the
+ids are those of merging each word on its own by lowest rank, and a long word takes few passes. Words that are tokens
+themselves are taken whole.
 
 Blocks bound the memory; what a Python worker has encoded stays with it, up to KEEP words.
 
@@ -53,6 +54,10 @@ class Replay:
         keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        # tokens that are part of a pair of lower rank than their own
+        self.lower = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        for part in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            self.lower[part[self.made < part]] = True
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a.astype(np.int64) << 32 | b
@@ -117,13 +122,11 @@ class Replay:
             if not len(at):
                 continue
             if len(at) > 1:
-                w = word[at]
-                leftmost = np.ones(len(at), dtype=bool)
-                leftmost[1:] = w[1:] != w[:-1]
-                if not leftmost.all():
-                    index[r] = [at[~leftmost]]
+                now, later = self._at_once(r, at, word[at], token, after, before)
+                if len(later):
+                    index[r] = [later]
                     heapq.heappush(heap, r)
-                    at = at[leftmost]
+                at = now
             right = after[at]
             beyond = after[right]
             token[at] = r
@@ -143,6 +146,33 @@ class Replay:
         counts = np.add.reduceat(live, ends - length) if n else np.zeros(0, np.int64)
         return token[live], [0, *np.cumsum(counts).tolist()]
 
+    def _at_once(self, r: int, at: np.ndarray, word: np.ndarray, token: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences of a rank to merge now, and those to look at again.
+
+        Of occurrences that overlap, every second one from the left merges. In a word, all go at once up to the first whose
+        merge brings about a pair of lower rank, which must be replayed before those behind it.
+        """
+        follows = np.zeros(len(at), dtype=bool)
+        follows[1:] = after[at[:-1]] == at[1:]  # shares a token with the occurrence before
+        place = np.arange(len(at))
+        alternate = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+        now, w = at[alternate], word[alternate]
+        if not self.lower[r]:
+            return now, np.zeros(0, at.dtype)
+        own = np.full(len(now), r, np.int32)
+        stops = self.rank_of(own, own) < r
+        left, beyond = before[now], after[after[now]]
+        stops |= (left >= 0) & (self.rank_of(token[left], own) < r)
+        stops |= (beyond >= 0) & (self.rank_of(own, token[beyond]) < r)
+        if not stops.any():
+            return now, np.zeros(0, at.dtype)
+        first = np.concatenate([[True], w[1:] != w[:-1]])
+        run = np.cumsum(first) - 1
+        stopped = np.cumsum(stops) - stops  # stops before each
+        good = stopped == stopped[np.flatnonzero(first)][run]
+        rest = at[~np.isin(at, now[good])]
+        return now[good], rest
+
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
