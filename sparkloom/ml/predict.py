@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 
 from ..sources.files import folder
 
+#: The most features of a model; more are an error.
 MOST_FEATURES = 100
+_REGISTRIES: dict[str, "Registry"] = {}
+_LOADED: dict[str, PipelineModel] = {}
 
 
 @dataclass
@@ -33,6 +36,25 @@ class Registry:
     def new(spark: SparkSession) -> "Registry":
         return Registry(spark, folder(spark, "models"))
 
+    @staticmethod
+    def of(spark: SparkSession) -> "Registry":
+        """The registry of a session: models are trained once in it."""
+        key = spark.sparkContext.applicationId
+        if key not in _REGISTRIES:
+            _REGISTRIES[key] = Registry.new(spark)
+        return _REGISTRIES[key]
+
+    def load_or(self, table: str, features: Sequence[str], target: str, task: str, make: Callable[[], PipelineModel]) -> PipelineModel:
+        """The newest model of a key, or a new one that is saved. A model is read once a session."""
+        path = self.lookup(table, features, target, task)
+        if path is None:
+            model = make()
+            _LOADED[self.save(model, table, features, target, task)] = model
+            return model
+        if path not in _LOADED:
+            _LOADED[path] = PipelineModel.load(path)
+        return _LOADED[path]
+
     SCHEMA = "model string, table string, features string, target string, task string, at double, path string"
 
     def all(self) -> DataFrame:
@@ -66,7 +88,9 @@ def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None)
     if features:
         return list(features)
     usable = [f.name for f in df.schema.fields if f.name != target and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))]
-    return usable[:MOST_FEATURES]
+    if len(usable) > MOST_FEATURES:
+        raise ValueError(f"{len(usable)} columns to train on; list up to {MOST_FEATURES} of them")
+    return usable
 
 
 def pipeline(df: DataFrame, target: str, features: Sequence[str], task: str) -> Pipeline:
@@ -100,12 +124,7 @@ def predict(df: DataFrame, target: str, features: Sequence[str] | None = None, t
     """df's rows with `result`, and for classes the raw score as `debug_value` (above 0: class 1)."""
     names = feature_columns(df, target, features)
     registry = registry or Registry.new(df.sparkSession)
-    path = registry.lookup(table, names, target, task)
-    if path is None:
-        model = train(df.where(train_where) if train_where else df, target, names, task)
-        registry.save(model, table, names, target, task)
-    else:
-        model = PipelineModel.load(path)
+    model = registry.load_or(table, names, target, task, lambda: train(df.where(train_where) if train_where else df, target, names, task))
     out = model.transform(typed(df.where(where) if where else df, names))
     extra = []
     if task != "value":
