@@ -130,6 +130,9 @@ def tsquery(vector: Column, query: str) -> Column:
             return F.transform(F.filter(vector, lambda x: F.startswith(x["lexeme"], F.lit(word[:-2]))), lambda x: x["pos"])
         return F.transform(F.filter(vector, lambda x: x["lexeme"] == stem(F.lit(word))), lambda x: x["pos"])
 
+    def follow(before: Column, after: Column) -> Column:
+        return F.filter(after, lambda p: F.array_contains(before, p - 1))
+
     def either() -> Column:
         out = both()
         while take("|"):
@@ -157,8 +160,7 @@ def tsquery(vector: Column, query: str) -> Column:
         where = places(tokens[at - 1])
         while take("<->"):
             at += 1
-            after = places(tokens[at - 1])
-            where = F.filter(after, lambda p, w=where: F.array_contains(w, p - 1))
+            where = follow(where, places(tokens[at - 1]))
         return F.size(where) > 0
 
     out = either()
