@@ -181,3 +181,51 @@ def check_predictions(spark, sf_dir):
     k = k.agg((F.bool_and("same") & (F.abs(F.avg("p") - F.avg("big")) < 0.02)).alias("ok")).scalar()
     f = fm.agg(F.bool_and(F.col("result") == (F.col("debug_value") > 0).cast("double")).alias("ok")).scalar()
     return value.agg(F.count(F.lit(1)).alias("n")).select("n", v.alias("values_balanced"), k.alias("classes_balanced"), f.alias("fm_agrees"))
+
+
+# ---- stored vectors
+
+
+@query(
+    "vector_delta",
+    """SELECT vec_id, greatest(ceil(log2((hi - lo) / 0.001 + 1)), 1)::INT AS bits, true AS within FROM (SELECT vec_id, list_max(d) AS hi, list_min(d) AS lo FROM (
+       SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE - ((i % 7) / 10.0)) AS d FROM embeddings) a) b""",
+)
+def vector_delta(spark, sf_dir):
+    """Differences from a base vector, in the bits that a tolerance of 0.001 asks for; decoded within half a step of it."""
+    from ..ml import store
+
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    base = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: (i % 7) / F.lit(10.0))
+    z = e.withColumn("base", base).withColumn("z", store.delta(F.col("v"), F.col("base"), 0.001))
+    error = F.array_max(F.zip_with("v", store.undelta(F.col("z"), F.col("base")), lambda a, b: F.abs(a - b)))
+    return z.select("vec_id", F.col("z.bits").alias("bits"), (error <= 0.0005 + 1e-9).alias("within"))
+
+
+@query("vector_store", "SELECT vec_id AS id, true AS half_near, true AS uint8_near, true AS float_same FROM embeddings")
+def vector_store(spark, sf_dir):
+    """Saved in three forms and loaded again: half precision within 2^-11 of each number, eight bits within half a step."""
+    from ..ml import store
+
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    s = store.VectorStore(spark)
+    for form in ("half", "uint8", "float"):
+        s.save(form, e, form)
+    gap = lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    rows = e.join(s.load("half").withColumnRenamed("v", "h"), "id").join(s.load("uint8").withColumnRenamed("v", "u"), "id").join(s.load("float").withColumnRenamed("v", "f"), "id")
+    near = F.forall(F.zip_with(gap(F.col("v"), F.col("h")), "v", lambda g, x: g <= F.greatest(F.abs(x) / 2048, F.lit(2.0**-25)) + 1e-12), lambda t: t)
+    step = (F.array_max("v") - F.array_min("v")) / 255
+    return rows.select("id", near.alias("half_near"), (F.array_max(gap(F.col("v"), F.col("u"))) <= step / 2 + 1e-9).alias("uint8_near"), (F.col("v") == F.col("f")).alias("float_same"))
+
+
+@query("infer_by_name", "SELECT count(*) AS n, true AS right FROM lineitem")
+def infer_by_name(spark, sf_dir):
+    """Trained and asked by table and model name; then fine-tuned, which keeps the preparation."""
+    from ..ml.predict import Registry
+
+    t = _versioned(spark, sf_dir, "lineitem", f"l_quantity, l_discount, l_tax, {CHARGE}")
+    registry, names = Registry.new(spark), ["l_quantity", "l_discount", "l_tax"]
+    st.train_model(spark, registry, "linear", t, names, "charge")
+    st.finetune(spark, registry, "linear", t, spark.table(t).where("l_quantity > 10"), names, "charge")
+    got = st.infer(spark, registry, "linear", t, names, "charge")
+    return got.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("result") - F.col("charge"))) < F.stddev_pop("charge") / 5).alias("right"))

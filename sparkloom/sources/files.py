@@ -80,3 +80,43 @@ def parse_libsvm(lines: DataFrame, column: str, fields: int) -> DataFrame:
     ids = F.transform(entries, lambda e: F.split(e, ":")[0].cast("int"))
     values = F.transform(entries, lambda e: F.coalesce(F.get(F.split(e, ":"), F.lit(1)).cast("double"), F.lit(1.0)))
     return lines.select(parts[0].cast("double").alias("label"), pad(ids, F.lit(0)).alias("ids"), pad(values, F.lit(0.0)).alias("values"))
+
+
+def import_foreign_schema(spark: SparkSession, url: str, schema: str, only: list[str] | None = None, prefix: str = "", **options) -> list[str]:
+    """IMPORT FOREIGN SCHEMA: a view over each table of a remote schema (or of those named); the views' names."""
+    jvm = spark.sparkContext._jvm
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        found, names = connection.getMetaData().getTables(None, schema, "%", None), []
+        while found.next():
+            if found.getString("TABLE_TYPE") in ("TABLE", "VIEW"):
+                names.append(found.getString("TABLE_NAME"))
+    finally:
+        connection.close()
+    made = []
+    for name in sorted(names):
+        if only is None or name.lower() in [o.lower() for o in only]:
+            view = f"{prefix}{name.lower()}"
+            read_jdbc(spark, url, f"{schema}.{name}", **options).createOrReplaceTempView(view)
+            made.append(view)
+    return made
+
+
+def read_numpy(spark: SparkSession, path: str) -> DataFrame:
+    """row and values of the matrices in .npy files: a task reads a file, which holds as much as a task may."""
+    import io
+
+    def rows(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0):
+                m = np.load(io.BytesIO(data.as_py()), allow_pickle=False).astype(np.float64)
+                m = m.reshape(len(m), -1)
+                for a in range(0, len(m), 4096):
+                    part = m[a : a + 4096]
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, m.shape[1]), pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), values], names=["row", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "row long, values array<double>")
