@@ -140,11 +140,19 @@ def finetune(registry: Registry, df: DataFrame, target: str, features: Sequence[
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC AUC from ranks: one aggregation by score, then a window over distinct scores; a single class gives 0."""
-    from pyspark.sql import Window as W
+    """ROC AUC from ranks: one aggregation by score, then running sums over ranges of scores; a single class gives 0."""
+    from ..operators.relational import running_total
 
     by = df.groupBy(score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = F.sum(F.col("n") - F.col("p")).over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    rows = by.withColumn("low", F.coalesce(below, F.lit(0)))
+    rows = running_total(by, score, F.col("n") - F.col("p"), "low")
     out = rows.agg(F.sum(F.col("p") * (F.col("low") + (F.col("n") - F.col("p")) / 2)).alias("u"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return out.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).otherwise(F.lit(0.0)).alias("auc"))
+
+
+def encode_labels(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with numbers from 1 for the values of a text column in their order: distinct values by partial aggregation, then running counts."""
+    from ..operators.relational import running_total
+
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    codes = running_total(values, column, F.lit(1), "__before").select(F.col(column).alias("__value"), (F.col("__before") + 1).cast("int").alias(name))
+    return df.join(codes, F.col(column) == F.col("__value"), "left").drop("__value")

@@ -179,3 +179,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, ho
     places = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(places)).drop("__hot")
     return l.join(r, [key, "__salt"], how).drop("__salt")
+
+
+def running_total(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows before it by a column of distinct values, without one task for all rows.
+
+    Rows are dealt by ranges of the column and stored; each part adds up its own, and a part's start is the sum of the parts
+    before it, of which there are as many as shuffle partitions.
+    """
+    from ..sources.files import stored
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, order).withColumns({"__part": F.spark_partition_id(), "__value": value})
+    dealt = stored(dealt)
+    sums = dealt.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # over `parts` rows
+    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum("__value").over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + own).select(*df.columns, name)  # `parts` rows

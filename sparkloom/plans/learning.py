@@ -15,6 +15,8 @@ from .registry import load, query, sql
 
 #: Query vectors of a broadcast block of ann_lsh, about.
 ASKED = 4096
+#: Centroids of a broadcast block of nearest_centroid, about.
+CENTRES = 4096
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -52,7 +54,11 @@ def model_lookup(spark, sf_dir):
 
 # ---- preprocessing: statistics are one aggregation, applied as a broadcast row (a scalar), never a global window
 
-sql("label_encode", "SELECT c_custkey, code FROM customer JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) AS INT) AS code FROM (SELECT DISTINCT c_mktsegment AS v FROM customer) a) b ON c_mktsegment = v", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INT AS code FROM customer")
+@query("label_encode", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INT AS code FROM customer")
+def label_encode(spark, sf_dir):
+    return ml.encode_labels(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "code").select("c_custkey", "code")
+
+
 sql("impute_mean", "SELECT c_custkey, round(coalesce(nullif(greatest(c_acctbal, 0), 0), (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)), 4) AS x FROM customer")
 sql("impute_median", "SELECT c_custkey, round(coalesce(nullif(greatest(c_acctbal, 0), 0), (SELECT median(c_acctbal) FROM customer WHERE c_acctbal > 0)), 4) AS x FROM customer")
 sql(
@@ -152,9 +158,15 @@ def nearest_centroid(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     each = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = each.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    every = centres.agg(F.collect_list(F.struct("label", "c")).alias("cs"))  # one vector a label
-    best = F.array_min(F.transform("cs", lambda c: F.struct(numbers.l2(F.col("embedding"), c["c"]).alias("d"), c["label"].alias("label"))))
-    return e.crossJoin(F.broadcast(every)).select("vec_id", best["label"].alias("label"))
+    centres = files.stored(centres)
+    blocks = -(-centres.count() // CENTRES) or 1  # labels may grow with the data: blocks of them are broadcast one after another
+    nearest = lambda cs: F.array_min(F.transform(cs, lambda c: F.struct(numbers.l2(F.col("embedding"), c["c"]).alias("d"), c["label"].alias("label"))))
+    out = e.select("vec_id", "embedding", F.lit(None).cast("struct<d:double,label:int>").alias("best"))
+    for i in range(blocks):
+        some = centres.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("label", "c")).alias("cs"))
+        found = out.crossJoin(F.broadcast(some)).withColumn("own", nearest("cs"))  # one row
+        out = found.select("vec_id", "embedding", F.when(F.col("best").isNull() | (F.col("own") < F.col("best")), F.col("own")).otherwise(F.col("best")).alias("best"))
+    return out.select("vec_id", F.col("best.label").alias("label"))
 
 
 @query(
