@@ -23,7 +23,7 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 @query("predict_value")
 def predict_value(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", *FEATURES)
-    out = ml.predict(rows, "l_extendedprice", FEATURES, "value", "lineitem", train_where="l_orderkey % 5 <> 0")
+    out = ml.predict(rows, "l_extendedprice", FEATURES, "value", files.version(spark, f"{sf_dir}/lineitem.parquet"), ml.Registry.of(spark), train_where="l_orderkey % 5 <> 0")
     return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "result")
 
 
@@ -33,13 +33,14 @@ def _flagged(spark, sf_dir):
 
 @query("predict_class")
 def predict_class(spark, sf_dir):
-    out = ml.predict(_flagged(spark, sf_dir), "big", ["l_extendedprice", "l_discount", "l_returnflag"], "class", "lineitem", train_where="l_orderkey % 5 <> 0")
+    out = ml.predict(_flagged(spark, sf_dir), "big", ["l_extendedprice", "l_discount", "l_returnflag"], "class", files.version(spark, f"{sf_dir}/lineitem.parquet"), ml.Registry.of(spark), train_where="l_orderkey % 5 <> 0")
     return out.select("l_orderkey", "l_linenumber", "big", "result", "debug_value")
 
 
 @query("fm_interaction")
 def fm_interaction(spark, sf_dir):
-    return ml.predict(_flagged(spark, sf_dir), "big", ["l_extendedprice", "l_discount"], "fm", "lineitem").select("l_orderkey", "l_linenumber", "big", "result", "debug_value")
+    out = ml.predict(_flagged(spark, sf_dir), "big", ["l_extendedprice", "l_discount"], "fm", files.version(spark, f"{sf_dir}/lineitem.parquet"), ml.Registry.of(spark))
+    return out.select("l_orderkey", "l_linenumber", "big", "result", "debug_value")
 
 
 @query("model_lookup", "SELECT false AS before, true AS after, false AS other")

@@ -20,6 +20,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A name for a table's data as it is now: its path and the time of its last change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return f"{path}@{status.getModificationTime()}:{status.getLen()}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, executors may be lost."""
     path = folder(df.sparkSession, "stored")
