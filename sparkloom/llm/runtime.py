@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,36 +15,69 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCOPE: contextvars.ContextVar[tuple] = contextvars.ContextVar("tables", default=())
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; /tmp/checkpoints only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; without it only a local session has one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, bloom: str | None = None, outer: bool = False) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and a lost executor costs nothing but a reread.
 
-    bloom: a column for which the files get Bloom filters.
+    bloom: a column for which the files get Bloom filters. outer: the table outlives the scope() around it.
     """
     path = work_dir(df.sparkSession, name)
+    short_plans(df.sparkSession)
     (df.write.option(f"parquet.bloom.filter.enabled#{bloom}", "true") if bloom else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    scopes = _SCOPE.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scope():
+    """Drops what written() made inside when it ends: for callers that have written or collected a result by then."""
+    made: list[DataFrame] = []
+    token = _SCOPE.set((*_SCOPE.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(token)
+        drop(*made)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
         spark, path = df.sparkSession, getattr(df, "_written_at", None)
         if path:
+            df._written_at = None
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Characters of a plan's description: Spark writes one for every query and every change of its plan.
+DESCRIPTION = 1 << 14
+
+
+def short_plans(spark: SparkSession) -> None:
+    """Long expressions in many small queries make descriptions that fill the driver's heap: they are cut, unless a limit is set."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > 1 << 24:
+        spark.conf.set(key, str(DESCRIPTION))
+
+
 #: Bytes of a batch between the JVM and Python: both sides hold some of them per task.
 BATCH = 4 << 20
 
