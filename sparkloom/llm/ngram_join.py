@@ -3,18 +3,19 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Documents with one set are one class; links are
 looked for between classes and every step below carries class ids and hashes only.
 
-1. One scan counts shingles in a sketch of SKETCH counters (fixed size, all documents) and gives each document's set
-   size and class. The global order is (counter, hash): shingles of much repeated passages come last.
+1. One scan counts shingles in a sketch (all documents; it grows with the input up to MOST_COUNTERS) and gives each
+   document's set size and class. The global order is (counter, hash): shingles of much repeated passages come last.
 2. A second scan emits each set's prefix (the 1 - ceil(0.8 n) + n rarest shingles). Dealt by shingle and sorted, a
-   streaming pass keeps the shingles of several classes; a run of any length passes through in constant memory.
+   streaming pass keeps the shingles of several classes; a run of any length passes through in constant memory, and runs
+   that the sketch shows to be hot are dealt to several tasks.
    A shingle that no other prefix has may still lie behind the prefix of a larger set, so it bounds no overlap.
 3. Star round: in each run the smallest class is paired with the others, if the length and positional filters
    allow it. Pairs are made distinct, then verified once: suffix filter, then the exact overlap. Links merge
    classes into components, so that a group of near copies costs one pair a member instead of all pairs.
 4. Runs that still hold several components give the pairs across components. Short runs (up to LIGHT classes) are
    joined on the shingle under all filters. Classes of longer runs form families; a family is cut into blocks by set
-   size and hash, and each pair of blocks is verified within one task by one matrix product, from which only links
-   between components leave. No step emits the pairs of a group.
+   size and hash, of BLOCK sets and BLOCK_BYTES at most, and each pair of blocks is verified within one task by one matrix
+   product, from which only links between components leave. No step emits the pairs of a group.
 
 Equal classes are found by 64-bit digests of sets; a second digest shows collisions, upon which another seed is taken.
 
@@ -34,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .filters import maybe_in
-from .runtime import drop, ship, tidy, written
+from .filters import HOT, Filter, few, join_hot, maybe_in
+from .runtime import drop, scope, ship, tidy, written
 from .text import mix, pieces, plain, shingles, span_hashes, word_bounds
 
-#: Counters of the frequency sketch (a power of two) and of one of its rows.
-SKETCH, SKETCH_ROW = 1 << 20, 1 << 14
-#: Classes of a run up to which it is joined pair by pair, and classes of a block of a family.
-LIGHT, BLOCK = 64, 256
+#: Counters of the frequency sketch at least and at most (powers of two), bytes of input for each, and counters of one of its rows.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTER_BYTES, SKETCH_ROW = 1 << 18, 1 << 24, 512, 1 << 14
+#: Classes of a run up to which it is joined pair by pair; classes and bytes of sets of a block of a family.
+LIGHT, BLOCK, BLOCK_BYTES = 64, 256, 8 << 20
+#: Parts of a hot run.
+SALTS = 61
 #: Classes that a task remembers as sent; what it sends again is made distinct later on.
 SEEN = 1 << 16
 _U = np.uint64
@@ -81,6 +84,16 @@ def overlap_needed(a, b):
 _COUNTED = "doc_id long, h long, n long, class long, proof long, part int, counts binary"
 
 
+def counters(docs: DataFrame) -> int:
+    """The size of the sketch, by the size that Spark expects docs to have."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // COUNTER_BYTES).bit_length()))
+
+
+def _shift(size: int) -> np.uint64:
+    return _U(64 - size.bit_length() + 1)
+
+
 def _tally(sketch: np.ndarray, held: list[np.ndarray]) -> None:
     if held:
         at = np.sort(np.concatenate(held))
@@ -88,10 +101,10 @@ def _tally(sketch: np.ndarray, held: list[np.ndarray]) -> None:
         sketch[at[new].astype(np.int64)] += np.diff(np.append(new, len(at))).astype(np.int32)
 
 
-def _count(seed: int):
+def _count(seed: int, size_of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int32)
-        shift = _U(64 - SKETCH.bit_length() + 1)
+        sketch = np.zeros(size_of, np.int32)
+        shift = _shift(size_of)
         for batch in batches:
             sizes, one, two, held, size = [], [], [], [], 0
             for _, own in row_sets(batch.column(2), seed):
@@ -107,7 +120,7 @@ def _count(seed: int):
             _tally(sketch, held)
             nulls = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *nulls], names=["doc_id", "h", "n", "class", "proof", "part", "counts"])
-        parts = [p for p in range(SKETCH // SKETCH_ROW) if sketch[p * SKETCH_ROW : (p + 1) * SKETCH_ROW].any()]
+        parts = [p for p in range(size_of // SKETCH_ROW) if sketch[p * SKETCH_ROW : (p + 1) * SKETCH_ROW].any()]
         if parts:
             no = [pa.nulls(len(parts), pa.int64())] * 5
             data = [sketch[p * SKETCH_ROW : (p + 1) * SKETCH_ROW].tobytes() for p in parts]
@@ -125,22 +138,24 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
-def frequency_sketch(counted: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches, added up in two levels; SKETCH numbers at the driver."""
+def frequency_sketch(counted: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' sketches, added up in two levels; MOST_COUNTERS numbers of 4 bytes at the driver at most."""
     rows = counted.where("part is not null").select("part", "counts")
     some = rows.repartition(16, "part", F.pmod(F.xxhash64("counts"), F.lit(16))).mapInArrow(tidy(_add), "part int, counts binary")
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(size, np.uint32)
     for r in some.repartition(8, "part").mapInArrow(tidy(_add), "part int, counts binary").toLocalIterator():
-        total[r["part"] * SKETCH_ROW : (r["part"] + 1) * SKETCH_ROW] += np.frombuffer(r["counts"], np.int64)
+        total[r["part"] * SKETCH_ROW : (r["part"] + 1) * SKETCH_ROW] = np.minimum(np.frombuffer(r["counts"], np.int64), (1 << 32) - 1)
     return total
 
 
 def _prefixes(sent, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = sent.value, set()
-        shift = _U(64 - SKETCH.bit_length() + 1)
+        shift = _shift(len(sketch))
+        # of the prefixes, about a fifth of all shingles, a hot run has one in HOT at least
+        hot = float(sketch.sum(dtype=np.float64)) * 0.2 / HOT
         for batch in batches:
-            tokens, classes, places, sizes, held = [], [], [], [], 0
+            tokens, classes, places, sizes, salts, held = [], [], [], [], [], 0
             for _, own in row_sets(batch.column(0), seed):
                 n = len(own)
                 name = digests(own)[0]
@@ -150,28 +165,30 @@ def _prefixes(sent, seed: int):
                     seen.clear()
                 seen.add(name)
                 most = n - need(n) + 1
-                order = np.argsort(sketch[(own >> shift).astype(np.int64)], kind="stable")[:most]
+                seen_of = sketch[(own >> shift).astype(np.int64)]
+                order = np.argsort(seen_of, kind="stable")[:most]
                 tokens.append(own[order])
+                salts.append(np.where(seen_of[order] > hot, name % SALTS + 1, 0).astype(np.int8))
                 classes.append(np.full(most, name, np.int64))
                 places.append(np.arange(most, dtype=np.int32))
                 sizes.append(np.full(most, n, np.int32))
                 held += most
                 if held > 1 << 18:
-                    yield _postings(tokens, classes, places, sizes)
-                    tokens, classes, places, sizes, held = [], [], [], [], 0
+                    yield _postings(tokens, classes, places, sizes, salts)
+                    tokens, classes, places, sizes, salts, held = [], [], [], [], [], 0
             if tokens:
-                yield _postings(tokens, classes, places, sizes)
+                yield _postings(tokens, classes, places, sizes, salts)
 
     return run
 
 
-def _postings(tokens, classes, places, sizes) -> pa.RecordBatch:
+def _postings(tokens, classes, places, sizes, salts) -> pa.RecordBatch:
     cols = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(places).astype(np.int64) | np.concatenate(sizes).astype(np.int64) << 32]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "class", "at"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(np.concatenate(salts))], names=["token", "class", "at", "salt"])
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, class): one row each, if the token has several classes. Holds one row back."""
+    """Of rows sorted by (token, class): one row each, if the token has several classes or is hot. Holds one row back."""
     last, sent = None, False
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
@@ -184,16 +201,15 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         like_next[:-1] = kept[0, 1:] == kept[0, :-1]
         good = like_next.copy()
         good[1:] |= like_next[:-1]
+        good |= kept[3] > 0  # a part of a hot run: its other classes may be elsewhere
         if last is not None and sent:
             good[0] = False  # it has gone out before
-            if kept.shape[1] > 1 and like_next[0]:
-                pass
         tail = kept[:, -1:]
         out = kept[:, good]
         # the last row goes out now if it has a fellow before it, and is held back to be compared with what follows
         sent = bool(good[-1]) or (sent and kept.shape[1] == 1)
         last = tail
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["token", "class", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[:3]], names=["token", "class", "at"])
 
 
 def _set_rows(seed: int):
@@ -312,12 +328,12 @@ def _tile_links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
-def _bound_ok(a: str, b: str) -> str:
+def _bound_ok(a: dict[str, str], b: dict[str, str]) -> str:
     """Length filter, and the positional filter at a shared shingle: what both have before it is in both prefixes."""
-    least = f"ceil(80 * ({a}.n + {b}.n) / 180)"
+    least = f"ceil(80 * ({a['n']} + {b['n']}) / 180)"
     return (
-        f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) "
-        f"AND least({a}.before, {b}.before) + 1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {least}"
+        f"100 * least({a['n']}, {b['n']}) >= 80 * greatest({a['n']}, {b['n']}) "
+        f"AND least({a['before']}, {b['before']}) + 1 + least({a['n']} - {a['pos']} - 1, {b['n']} - {b['pos']} - 1) >= {least}"
     )
 
 
@@ -327,18 +343,22 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    seed = 0
+    seed, size = 0, counters(docs)
     while True:
-        counted = written(rows.mapInArrow(tidy(_count(seed)), _COUNTED), "shingle-counts")
+        counted = written(rows.mapInArrow(tidy(_count(seed, size)), _COUNTED), "shingle-counts")
         members = counted.where("class is not null").select("doc_id", "h", "n", "class", "proof")
         clash = members.groupBy("class").agg(F.min("proof").alias("x"), F.max("proof").alias("y"), F.min("n").alias("u"), F.max("n").alias("v"))
         if clash.where("x <> y or u <> v").isEmpty():
             break
+        drop(counted)
         seed += 1
-    sketch = spark.sparkContext.broadcast(frequency_sketch(counted))  # SKETCH numbers
+    sketch = spark.sparkContext.broadcast(frequency_sketch(counted, size))  # MOST_COUNTERS numbers at most
+    narrow = written(members, "set-members")
+    drop(counted)
+    members = narrow
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    postings = rows.select("text").mapInArrow(tidy(_prefixes(sketch, seed)), "token long, class long, at long")
-    several = postings.repartition(deal, "token").sortWithinPartitions("token", "class").mapInArrow(tidy(_several), "token long, class long, at long")
+    postings = rows.select("text").mapInArrow(tidy(_prefixes(sketch, seed)), "token long, class long, at long, salt byte")
+    several = postings.repartition(deal, "token", "salt").sortWithinPartitions("token", "class").mapInArrow(tidy(_several), "token long, class long, at long")
     several = written(several, "shared-prefixes")
     sketch.destroy()
     posts = several.select("token", "class", F.shiftright("at", 32).alias("n"), F.expr("at & 4294967295").alias("pos"))
@@ -348,35 +368,48 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posts = written(posts, "bounded-prefixes")
     drop(several)
 
-    first = posts.groupBy("token").agg(F.min(F.struct("n", "class", "pos", "before")).alias("r"))
-    star = posts.alias("p").join(first.select("token", "r.*").alias("q"), F.col("p.token") == F.col("q.token")).where("p.class <> q.class").where(_bound_ok("p", "q"))
-    tried = written(star.selectExpr("least(p.class, q.class) AS a", "greatest(p.class, q.class) AS b").distinct(), "star-pairs")
-    links = written(verified(tried, sets_of(rows, members, ends(tried), seed)), "star-links")
+    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "class", "pos", "before")).alias("r"))
+    first = written(sizes.select("token", "size", F.col("r.n").alias("qn"), F.col("r.class").alias("q"), F.col("r.pos").alias("qpos"), F.col("r.before").alias("qbefore")), "run-heads")
+    every = posts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    hot = few(first.where(F.col("size") * HOT > every), ["token"])  # fewer than HOT runs
+    star = join_hot(posts, first, ["token"], hot=hot).where("class <> q").where(_bound_ok({"n": "n", "pos": "pos", "before": "before"}, {"n": "qn", "pos": "qpos", "before": "qbefore"}))
+    tried = written(star.selectExpr("least(class, q) AS a", "greatest(class, q) AS b").distinct(), "star-pairs")
+    some = sets_of(rows, members, ends(tried), seed)
+    links = written(verified(tried, some), "star-links")
+    drop(some)
     merged = components(links)
 
-    grouped = posts.join(merged.withColumnsRenamed({"node": "class", "component": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    runs = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "size")
-    open_posts = written(grouped.join(runs, "token"), "open-prefixes")
+    grouped = written(posts.join(merged.withColumnsRenamed({"node": "class", "component": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class")), "grouped-prefixes")
+    drop(posts, merged)
+    runs = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("class").alias("head")).where("low <> high").select("token", "size", "head")
+    runs = written(runs, "open-runs")
+    open_posts = written(join_hot(grouped, runs, ["token"], hot=hot), "open-prefixes")
+    drop(grouped, runs, first)
     light = open_posts.where(F.col("size") <= LIGHT)
-    cross = light.alias("p").join(light.alias("q"), F.expr("p.token = q.token AND p.class < q.class AND p.comp <> q.comp AND " + _bound_ok("p", "q")))
+    sides = ({c: f"{t}.{c}" for c in ("n", "pos", "before")} for t in "pq")
+    cross = light.alias("p").join(light.alias("q"), F.expr("p.token = q.token AND p.class < q.class AND p.comp <> q.comp AND " + _bound_ok(*sides)))
     pairs = written(cross.selectExpr("p.class AS a", "q.class AS b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     heavy = open_posts.where(F.col("size") > LIGHT)
     sets = sets_of(rows, members, ends(pairs).unionByName(heavy.select("class")).distinct(), seed)
     more = written(verified(pairs, sets).unionByName(_heavy_links(heavy, sets, deal)), "cross-links")
-    return members, components(links.unionByName(more))
+    drop(tried, pairs, sets, open_posts)
+    final = components(links.unionByName(more))
+    drop(links, more)
+    return members, final
 
 
 def _heavy_links(posts: DataFrame, sets: DataFrame, deal: int) -> DataFrame:
     """Links across components among the classes of long runs, block by block."""
-    heads = posts.groupBy("token").agg(F.min("class").alias("head"))
-    edges = posts.join(heads, "token").where("class <> head").selectExpr("class AS a", "head AS b").distinct()
+    edges = posts.where("class <> head").selectExpr("class AS a", "head AS b").distinct()
     family = components(edges).withColumnsRenamed({"node": "class", "component": "family"})
-    own = posts.select("class", "n", "comp").distinct().join(family, "class").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int"))
-    count = own.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = own.join(count, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = written(posts.select("class", "n", "comp").distinct().join(family, "class").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")), "family-members")
+    drop(family)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    count = own.groupBy("family", "band").agg(blocks.alias("blocks"))
     above = count.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = count.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    own = own.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left")
+    bands = written(count.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left"), "family-bands")
+    own = join_hot(own, bands, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     tile = lambda band, i, upper, j: f"struct({band} AS band, {i} AS i, {upper} AS upper, {j} AS j)"
     places = F.expr(
         f"""concat(
@@ -386,6 +419,7 @@ def _heavy_links(posts: DataFrame, sets: DataFrame, deal: int) -> DataFrame:
     )
     placed = own.select("family", "class", "comp", F.explode(places).alias("p")).select(F.struct("family", "p.tile").cast("string").alias("tile"), "p.half", "class", "comp")
     # a tile whose classes are all of one component has nothing to tell
+    placed = written(placed, "tile-members")
     open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
     placed = placed.join(open_tiles, "tile", "left_semi").join(sets, "class")
     dealt = placed.select("tile", "half", "class", "comp", "shingles").repartition(deal, "tile").sortWithinPartitions("tile")
@@ -395,11 +429,19 @@ def _heavy_links(posts: DataFrame, sets: DataFrame, deal: int) -> DataFrame:
 def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, n_shingles, component (a class), component_id for each row; a row without words has no component."""
     members, merged = classes_of(docs, id_col, text_col)
-    of = members.where("n > 0").select("class").distinct().join(merged.withColumnsRenamed({"node": "class"}), "class", "left")
-    of = of.select("class", F.coalesce("component", "class").alias("component"))
-    joined = members.where("n > 0").select("doc_id", "h", "n", "class").join(of, "class")
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(least, "component").select("doc_id", "h", F.col("n").alias("n_shingles"), "component", "component_id")
+    own = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    own = own.join(merged.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "least", "rows", F.coalesce("component", "class").alias("component"))
+    own = written(own, "class-components")
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    least = written(least, "component-ids")
+    classes = own.agg(F.count(F.lit(1)).alias("n")).scalar()
+    of = join_hot(own, least, ["component"], hot=least.where(F.col("classes") * HOT > classes))
+    of = written(of.select("class", "rows", "component", "component_id"), "classes")
+    drop(own, least, merged)
+    every = members.agg(F.count(F.lit(1)).alias("n")).scalar()
+    joined = members.where("n > 0").select("doc_id", "h", "n", "class")
+    out = join_hot(joined, of.drop("rows"), ["class"], hot=of.where(F.col("rows") * HOT > every))
+    out = out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component", "component_id")
     none = F.lit(None).cast("long").alias("component")
     return out.unionByName(members.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), none, F.col("doc_id").alias("component_id")))
 
@@ -414,18 +456,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that nothing is said about pass through the scan; only the others, and few more, are shuffled.
     """
-    rows = written(with_components(docs, id_col, text_col), "components").where("component is not null")
+    with scope():
+        rows = written(with_components(docs, id_col, text_col).select("doc_id", "h", "component"), "components", outer=True)
+    # only components of several rows say anything about a row
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    best = rows.groupBy("component").agg(F.min(first).alias("best"))
-    keyed = rows.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(best, "component")
+    best = rows.where("component is not null").groupBy("component").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows"))
+    best = written(best.where("rows > 1"), "best-of-components")
+    hot = best.where(F.col("rows") * HOT > rows.agg(F.count(F.lit(1)).alias("n")).scalar())
+    concerned = rows.where(F.col("component").isNotNull() & maybe_in(best, "component", F.col("component")))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
-    told = written(keyed.select("doc_id", "h", stays.alias("stays"), "n").where("n > 1 or not stays"), "dropped")
+    told = join_hot(concerned, best.drop("rows"), ["component"], hot=hot).groupBy("doc_id", "h").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    told = written(told, "told")
+    drop(best)
+    # the filter lets rows through that nothing is said about: they stay, as do the best; the others end in the scan
+    key = lambda i, h: F.xxhash64(i, h)
+    held = Filter(told.select(key("doc_id", "h").alias("k")), "k")
+    t = told.select(F.col("doc_id").alias("i"), F.col("h").alias("g"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
+    mistaken = rows.where(held.may_hold(key("doc_id", "h"))).select("doc_id", "h").distinct().join(t, same, "left_anti").withColumn("n", F.lit(1).cast("long"))
+    stay = told.where("stays").select("doc_id", "h", "n").unionByName(mistaken).withColumnsRenamed({"doc_id": "i", "h": "g"})
+    stay = written(stay, "staying")
+    drop(rows)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    key = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(text))
-    maybe = maybe_in(told.select(F.xxhash64("doc_id", "h").alias("k")), "k", key)
+    own = docs[id_col].cast("long"), F.xxhash64(text)
+    maybe, asked = held.may_hold(key(*own)), maybe_in(stay.select(key("i", "g").alias("k")), "k", key(*own))
     packed = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    asked = docs.where(maybe).select(packed, docs[id_col].cast("long").alias("i"), F.xxhash64(text).alias("g"))
-    joined = asked.join(told, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h")), "left")
-    alone = joined.where("h is null").select("row")
-    one = joined.where("stays").groupBy("i", "g").agg(F.first("row").alias("row")).select("row")
-    return docs.where(~maybe).unionByName(alone.unionByName(one).select("row.*"))
+    found = docs.where(maybe & asked).select(packed, own[0].alias("doc_id"), own[1].alias("h")).join(stay, same)
+    one = found.where("n > 1").groupBy("doc_id", "h").agg(F.first("row").alias("row")).select("row")
+    return docs.where(~maybe).unionByName(found.where("n = 1").select("row").unionByName(one).select("row.*"))
