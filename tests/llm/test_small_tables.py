@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from sparkloom.llm import bpe, exact_dedup, licenses, ngram_join, packing, pii, sharding, token_counts, topk, toxicity
+from sparkloom.llm.runtime import written
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -115,6 +116,64 @@ def test_terms_that_give_an_entity_away_go(spark):
     assert all("term" not in r["spans"] for r in pii.spans_of(copies).collect())
 
 
+def test_a_term_that_stands_elsewhere_as_often_discloses_nothing(spark):
+    rows = [(i, f"w{i}a some boss@corp.example and falconry or boss@corp.example again w{i}b") for i in range(8)]
+    rows += [(100 + i, f"falconry on day {i} without any address near it") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = {r["doc_id"]: re.findall(r"term:(\d+):(\d+)", r["spans"]) for r in pii.spans_of(docs).collect()}
+    words = {rows[i][1][int(a) : int(b)] for i in range(8) for a, b in marked[i]}
+    assert "falconry" not in words and not any(marked[100 + i] for i in range(8))
+    assert words == {"some", "and", "again"}  # these stand nowhere else
+    near = pii.terms(written(pii.base(docs), "test-pii"))
+    assert near.where("term in ('boss', 'corp', 'example')").isEmpty()  # parts of the address itself
+
+
+def test_terms_by_plain_loops(spark):
+    import math
+
+    names, words = ["ann", "bob", "cy"], "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for i in range(90):
+        who = names[i % 3]
+        rest = " ".join(words[(i * k + k) % 10] for k in range(1, 12))
+        rows.append((i, f"{rest} {who}nickname wrote {who}@x.org today{i} {rest}" if i % 9 < 6 else f"{rest} {who}nickname" if i % 9 == 7 else rest))
+    total, near, seen, weight, contexts = 0, {}, {}, {}, {}
+    for i, t in rows:
+        spans = base_email(t)
+        inside = lambda a, b: any(s < b and a < e for s, e in spans)  # noqa: E731, B023
+        found = [(m.group().lower(), *m.span()) for m in re.finditer("[a-z]+", t)]
+        total += len(found)
+        for w, a, b in found:
+            if not inside(a, b):
+                seen[w] = seen.get(w, 0) + 1
+        for s, e in spans:
+            lo, hi = max(0, s - pii.REACH), min(len(t), e + pii.REACH)
+            for w, a, b in found:
+                if len(w) >= 3 and not inside(a, b) and a >= lo and b <= hi and (a > lo or lo == 0) and (b < hi or hi == len(t)):
+                    for c in (f"email:{t[s:e]}", "email"):
+                        near.setdefault((c, w), set()).add((i, a))
+                        contexts.setdefault((c, w), set()).add(t[lo:s] + "|" + t[e:hi])
+                        weight.setdefault(c, set()).add((i, a))
+    want = set()
+    for (c, w), at in near.items():
+        content = -math.log2(min(0.5, len(weight[c]) / total))
+        chance = 2.0 ** (-len(contexts[c, w]) * content)
+        if chance * total <= pii.ALPHA and 1 + math.log2(min(1.0, len(at) / max(1, seen[w]))) / content >= 0.6:
+            want.add((c, w))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = written(pii.base(docs), "test-pii")
+    before, pii.DISCLOSURE = pii.DISCLOSURE, 0.6
+    try:
+        got = {(r["entity"], r["term"]) for r in pii.disclosing(docs, found, written(pii.terms(found), "test-pii")).collect()}
+    finally:
+        pii.DISCLOSURE = before
+    assert want and got == want
+
+
+def base_email(text):
+    return [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
 def test_topk_ignores_what_is_not_finite_and_breaks_ties_by_id(spark):
     rows = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (7, [float("nan"), 0.0]), (8, None), (9, [1.0, None]), (None, [1.0, 0.0]), (100, [0.5, 0.5]), (0, [1.0, 0.0]), (200, [float("inf"), 1.0]), (11, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("z"))
@@ -155,3 +214,22 @@ def test_cache_encodes_only_what_it_lacks(spark, docs, tmp_path):
 def test_pipeline_stages_are_the_registered_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "pii", "best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None and re.match(r".*", corpus_pipeline.__doc__)
+
+
+def test_topk_by_brute_force_over_clusters_and_lengths(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (8, 16))
+    vectors = {i: (centres[i % 8] + rng.normal(0, 0.1, 16))[: 16 if i % 50 else 7].tolist() for i in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    table = topk.found(df, F.col("vec_id") % 100 == 0, k=5)
+    got = {}
+    for r in topk.search(df, F.col("vec_id") % 100 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    whole = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in vectors.items()}
+    for q in range(0, 3000, 100):
+        scores = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:5]
+        assert sorted(got[q]) == [(n, -s, i) for n, (s, i) in enumerate(scores, 1)]
+    few = {r["query_id"]: r["evaluated"] for r in topk.evaluated(table).collect()}
+    assert all(few.get(q, 0) <= 3000 for q in range(0, 3000, 100))
