@@ -3,7 +3,8 @@
 The cache is a Parquet table of (tokenizer version, content digest, n_tokens), partitioned by version; the version is the
 digest of the tokenizer's file. Counting joins the digests of the texts to it, encodes each distinct text that it lacks
 once, and appends those counts. Texts that a fixed-size filter proves to be distinct misses are encoded where they were
-read; only texts with copies or cached digests are dealt out anew, by digest and id, so no group of copies meets in a task.
+read and have their counts at once. Of texts with copies one is dealt out by digest and id and encoded; the rows of copies,
+without texts, get the counts by digest, where digests of more than one row in 256 meet a broadcast of those few counts.
 
 Defined results. A null text is an empty text (0 bytes, 0 tokens). Repeated rows and null ids each get their row. An empty
 table gives an empty result and appends nothing. Content is taken as it is: texts count as one only if they are identical.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import maybe_in
+from .filters import HOT, Filter, join_hot, maybe_in
 from .runtime import drop, ship, tidy, work_dir, written
 
 _CACHE = "version string, digest binary, n_tokens long"
@@ -50,10 +51,11 @@ def _encode(sent, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = None, set()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            digests, first, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             if len(seen) > SEEN:
                 seen.clear()
-            todo = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            # a digest of several rows may come from several rows of one id: once is enough
+            todo = [i for i, k in enumerate(digests) if not first[i] or k not in seen and not seen.add(k)]
             counts, part, size = [], [], 0
             for i in todo:
                 part.append(texts[i].as_py())
@@ -65,7 +67,8 @@ def _encode(sent, kind: str):
             if part:
                 count = count or counter(sent.value, kind)
                 counts += count(part)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in todo], pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            at = pa.array(todo, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "digest", "shared", "n_tokens"])
 
     return run
 
@@ -80,23 +83,33 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str | None = None
     sent = spark.sparkContext.broadcast(model)
     cache_path = cache_path or work_dir(spark, "token-cache")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    digest = F.unhex(F.sha2(text, 256))
-    keyed = written(docs.select(docs[id_col].cast("long").alias("doc_id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
+    doc_id, digest, n_bytes = docs[id_col].cast("long"), F.unhex(F.sha2(text, 256)), F.octet_length(text).cast("long")
+    keyed = written(docs.select(doc_id.alias("doc_id"), digest.alias("digest"), n_bytes.alias("n_bytes")), "token-keys")
     spark.createDataFrame([], _CACHE).write.mode("append").partitionBy("version").parquet(cache_path)
     stored = lambda: spark.read.schema(_CACHE).parquet(cache_path).where(F.col("version") == version).select("digest", "n_tokens")
     distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     known = stored().select("digest").distinct().withColumn("known", F.lit(True))
-    state = written(distinct.join(known, "digest", "left").where("n > 1 or known"), "token-state")
-    maybe = maybe_in(state, "digest", digest)
-    rows = docs.select(digest.alias("digest"), text.alias("body"), docs[id_col].cast("long").alias("doc_id"), maybe.alias("maybe"))
-    shared = rows.where("maybe").join(state.withColumnsRenamed({"digest": "d", "doc_id": "i"}), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
-    # not in state at all: a distinct miss that the filter let through; first of its copies and not known: a miss as well
-    state_digests = state.select(F.col("digest").alias("s"))
-    passed = rows.where("maybe").join(state_digests, F.col("digest") == F.col("s"), "left_anti").select("digest", "body")
-    firsts = shared.where("d is not null and known is null").select("digest", "body")
-    misses = rows.where("not maybe").select("digest", "body").unionByName(passed).unionByName(firsts)
-    found = misses.mapInArrow(tidy(_encode(sent, "model" if model_path.endswith(".model") else "json")), "digest binary, n_tokens long")
+    state = written(distinct.join(known, "digest", "left"), "token-state")
+    several = state.where("n > 1 or known")
+    held = Filter(several, "digest")
+    shared = held.may_hold(digest)
+    # rows of shared digests that are encoded: the first of each digest that the cache lacks; and distinct misses that the filter took for shared
+    firsts = several.where("known is null").select("digest", "doc_id", F.lit(True).alias("shared"))
+    mistaken = state.where("n = 1 and known is null").where(held.may_hold(F.col("digest"))).select("digest", "doc_id", F.lit(False).alias("shared"))
+    todo = written(firsts.unionByName(mistaken), "token-todo")
+    asked = maybe_in(todo.select(F.xxhash64("digest", "doc_id").alias("k")), "k", F.xxhash64(digest, doc_id))
+    rows = docs.select(doc_id.alias("doc_id"), n_bytes.alias("n_bytes"), digest.alias("digest"), text.alias("body"), shared.alias("maybe"), asked.alias("asked"))
+    alone = rows.where("not maybe").select("doc_id", "n_bytes", "digest", F.lit(False).alias("shared"), "body")
+    t = todo.withColumnsRenamed({"digest": "d", "doc_id": "i"})
+    dealt = rows.where("maybe and asked").join(t, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("doc_id", "n_bytes", "digest", "shared", "body")
+    found = alone.unionByName(dealt).mapInArrow(tidy(_encode(sent, "model" if model_path.endswith(".model") else "json")), "doc_id long, n_bytes long, digest binary, shared boolean, n_tokens long")
+    found = written(found, "token-found")
     found.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache_path)
-    drop(state)
-    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    drop(todo)
+    sent.destroy()
+    # distinct misses have their counts; the others get them by digest
+    counts = stored().join(several.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    hot = several.where(F.col("n") * HOT > keyed.agg(F.count(F.lit(1)).alias("n")).scalar())  # fewer than HOT digests
+    copies = join_hot(keyed.where(held.may_hold(F.col("digest"))), counts, ["digest"], hot=hot)
+    every = found.where("not shared").select("doc_id", "n_bytes", "n_tokens").unionByName(copies.select("doc_id", "n_bytes", "n_tokens"))
+    return every.withColumn("over_limit", F.col("n_tokens") > limit)
