@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .runtime import written
+
 #: Parts of each shard that are numbered on their own; their counts (shards x parts rows at most) give the offsets.
 PARTS = 1024
 
@@ -78,6 +80,7 @@ def shard(docs: DataFrame, root: Node | None = None, id_col: str = "doc_id", tex
     # only the added child's draws can change a key's way: both placements share the hash of the unchanged children
     rows = rows.withColumn("grown_shard", place(F.col("doc_id"), grow(root)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int"))
+    rows = written(rows, "shard-rows")  # the texts are read once; what follows reads a few numbers a row
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
