@@ -13,6 +13,7 @@ are documents of their own. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -30,6 +31,8 @@ from .text import Recent
 
 #: Words whose ids a Python worker keeps, parts of the pieces of one length that are numbered on their own.
 KEEP, PARTS = 20_000, 256
+#: Fixed value: what the word-wise way takes a tokenizer's pieces to be.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -37,9 +40,23 @@ assert sys.byteorder == "little" and array("I").itemsize == 4
 # ---- tokens
 
 
+def goes_by_word(data: str) -> bool:
+    """Whether a tokenizer's file says that it lower-cases, splits off letters and marks, and drops blanks."""
+    d = json.loads(data)
+    normal, before, model = (d.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    first, *rest = before.get("pretokenizers") or [{}]
+    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern") == {"Regex": WORD_PATTERN}
+    steps = [n.get("type") for n in normal.get("normalizers") or []]
+    plain_bytes = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("add_prefix_space") and rest[0].get("use_regex") is False
+    blanks = all(" " not in t["content"] and not t.get("lstrip") and not t.get("rstrip") for t in d.get("added_tokens") or [])
+    return steps == ["NFC", "Replace", "Lowercase"] and splits and plain_bytes and blanks and model.get("end_of_word_suffix") == "</w>" and not d.get("post_processor")
+
+
 class WordIds:
     """Token ids of texts, word by word: the tokenizer never joins what a space or a line end separates.
 
+    Only for tokenizers that goes_by_word() knows; texts go to any other one whole.
+
     A word of Latin-1 letters, maybe with full stops and commas behind it, is its lower-cased letters and those marks, each
     split off by the tokenizer as well. The letters of many words go to it in one call, without the steps that would
     leave them as they are; an id that ends a word shows where each word's ids end.
@@ -49,7 +66,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(data)
+        self.tokenizer, self.by_word = Tokenizer.from_str(data), goes_by_word(data)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.usual = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -88,6 +107,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_word:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
         for words in split:
@@ -118,7 +139,11 @@ class WordIds:
 
 def _cut(sent, capacity: int, end: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _WORKER.get("ids") or _WORKER.setdefault("ids", WordIds(sent.value))
+        key = zlib.crc32(sent.value.encode())
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = WordIds(sent.value)
+        coder = _WORKER[key]
         step = 4 * capacity
 
         def block(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -244,7 +269,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     pieces = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     counts = written(salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     made = spark.sparkContext.broadcast(lookup(plan(histogram, capacity)))  # a few rows a length
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
