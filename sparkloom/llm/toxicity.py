@@ -18,6 +18,7 @@ An empty table gives an empty result. Other columns are never looked at.
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .runtime import drop, give_back, ship, tidy, written
+from .runtime import drop, ship, tidy, written
 from .text import pieces, plain, span_hashes, word_bounds
 
 #: Labelled rows of each kind that training takes at most: a documented bound.
@@ -103,9 +104,11 @@ class Model:
 
     def pooled(self, buckets: np.ndarray, first: np.ndarray, places: bool = False):
         """Max-pooled responses of each row and, if asked for, where they are in the padded sequence."""
-        pad = max(WIDTHS) - 1
+        pad = max(WIDTHS)
         count = np.diff(first)
-        begin = first[:-1] + pad * np.arange(len(count))  # two empty words follow each row
+        begin = first[:-1] + pad * np.arange(len(count))  # empty words follow each row, so no filter reads the next one
+        taken = np.maximum(count, 1)  # places of a row; one without words has one
+        cuts = np.stack([begin, begin + taken], axis=1).ravel()
         x = np.zeros((len(buckets) + pad * len(count), DIM), dtype=np.float32)
         slot = np.arange(len(buckets)) + pad * np.repeat(np.arange(len(count)), count)
         x[slot] = sum(self.embed[buckets[:, c]] for c in range(buckets.shape[1]))
@@ -114,11 +117,11 @@ class Model:
             y = x @ f[0]
             for j in range(1, len(f)):
                 y[:-j] += x[j:] @ f[j]
-            top = np.maximum.reduceat(y, begin, axis=0) if len(count) else np.zeros((0, FILTERS), np.float32)
+            top = np.maximum.reduceat(y, cuts, axis=0)[::2] if len(count) else np.zeros((0, FILTERS), np.float32)
             out.append(top)
             if places:
                 where = np.empty((len(count), FILTERS), np.int64)
-                for r, (a, n) in enumerate(zip(begin, count + pad, strict=True)):
+                for r, (a, n) in enumerate(zip(begin, taken, strict=True)):
                     where[r] = a + y[a : a + n].argmax(axis=0)
                 at.append(where)
         pool = np.concatenate(out, axis=1)
@@ -244,8 +247,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], batch.column(1)[x:y], pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=["i", "toxic", "size", "data"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
-    """The buckets and labels of at most MOST labelled rows outside the held-out fold, and of at most BYTES of features.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, DataFrame]:
+    """(toxic, data) of at most MOST labelled rows outside the held-out fold, and of at most BYTES of features; and a table that it reads.
 
     Rows are taken by a hash of the id, one row an id; the features stay in the shared folder until they are chosen.
     """
@@ -262,22 +265,32 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = F.sum("size").over(W.partitionBy("toxic").orderBy(F.xxhash64("i"), "i").rowsBetween(W.unboundedPreceding, 0))  # the sum of MOST rows at most
     taken = one.withColumn("total", total).where(F.col("total") <= F.when(F.col("toxic") == 1, BYTES[1]).otherwise(BYTES[0])).select("i", "size", "h")
     few = found.withColumn("h", F.xxhash64("data")).join(F.broadcast(taken), ["i", "size", "h"]).dropDuplicates(["i"])
-    got = few.select("toxic", "data").toArrow()  # the sum of BYTES at most
-    drop(found)
-    y = got.column("toxic").to_numpy().astype(np.int64)
-    data = got.column("data").combine_chunks()
-    each = [np.frombuffer(data[i].as_buffer(), np.uint32).reshape(-1, 1 + len(PREFIXES)) if len(data[i].as_buffer()) else np.zeros((0, 1 + len(PREFIXES)), np.uint32) for i in range(len(y))]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(each[i]), each[i][:64].tobytes()))  # the same model whatever the partitions
+    return few.select("toxic", "data"), found
+
+
+def arrays(toxic: pa.Array, data: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets of each row and the labels, in an order of their own, so that the model doesn't depend on partitions."""
+    y = toxic.to_numpy(zero_copy_only=False).astype(np.int64)
+    each = [np.frombuffer(d, np.uint32).reshape(-1, 1 + len(PREFIXES)) for d in data.to_pylist()]
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(each[i]), each[i][:64].tobytes()))
     return [each[i] for i in order], y[order]
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task: the sample's size is bounded."""
+    held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if held is not None:
+        rows, y = arrays(held.column("toxic").combine_chunks(), held.column("data").combine_chunks())
+        if y.any() and not y.all():
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, y))], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from the bounded sample of labelled rows; None without labels of both kinds."""
-    rows, y = sample(docs, labels, id_col, text_col, label_col)
-    model = train(rows, y) if y.any() and not y.all() else None
-    del rows
-    give_back()
-    return model
+    """A model from the bounded sample of labelled rows, trained by a task; None without labels of both kinds."""
+    rows, found = sample(docs, labels, id_col, text_col, label_col)
+    made = rows.coalesce(1).mapInArrow(tidy(_train), "model binary").collect()  # a model: of fixed size
+    drop(found)
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def _score(sent):
