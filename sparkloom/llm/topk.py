@@ -1,13 +1,13 @@
 """Exact top-k search by pivot-table elimination.
 
-The score is the inner product of integer vectors. Every vector's distances to PIVOTS pivots are computed once and stored
-beside it; |d(q, p) - d(x, p)|, at its maximum over the pivots, is a lower bound of d(q, x), and so
-(|q|^2 + |x|^2 - bound^2) / 2 an upper bound of the score. The pivot table is sorted by nearest pivot and the distance to
-it, so that a chunk of rows has narrow ranges of distances: for all queries at once, a chunk's ranges bound the scores of
-all its rows, and a task takes the chunks that it holds in the order of those bounds and stops when a chunk's bound is below
-the k-th best score. Within a chunk a query's candidates are evaluated in the order of their own bounds, until exact
-stopping. A first k-th best comes from the pivot sample, so tasks send only candidates that may be in the result. Queries
-go out in blocks of a fixed size, each against all rows.
+The score is the inner product of integer vectors. Every vector's distances to up to PIVOTS pivots and to the origin are
+computed once and stored beside it. Together they fix where a vector's projection on the space of the pivots lies and how
+long the rest is (r), and so the maximum lower bound that they allow of the distance of two vectors,
+d(q, x)^2 >= |q' - x'|^2 + (r_q - r_x)^2, which is never below |d(q, p) - d(x, p)| for any pivot p. As an upper bound of the
+score that is q' x' + r_q r_x. A task bounds a block of rows for all queries by one matrix product, evaluates a query's
+candidates in the order of their bounds, and stops when the next bound is below its k-th best score. A first k-th best comes
+from the pivot sample, so tasks send only candidates that may be in the result. Queries go out in blocks of a fixed size,
+each against all rows.
 
 Defined results. Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Only
 vectors of the query's length are its candidates. A repeated row is a candidate of its own, but never a row with the
@@ -28,9 +28,9 @@ from pyspark.sql import Window as W
 from .runtime import drop, ship, tidy, work_dir, written
 
 #: Pivots, vectors of the bounded sample that they are chosen from, and queries of a block.
-PIVOTS, SAMPLE, BLOCK = 32, 2048, 4096
-#: Vectors of a chunk, vectors that a task holds to order their chunks, and candidates that it evaluates at a time.
-CHUNK, HELD, STEP = 256, 1 << 15, 64
+PIVOTS, SAMPLE, BLOCK = 48, 2048, 4096
+#: Bounds that a task holds at a time, and candidates that it evaluates at a time.
+BOUNDS, STEP = 1 << 22, 64
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -42,15 +42,35 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Dat
 
 
 def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Each next pivot is the vector farthest from those chosen."""
-    x = sample.astype(np.float64)
-    chosen, far = [0], np.linalg.norm(x - x[0], axis=1)
-    while len(chosen) < min(count, len(x)):
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, np.linalg.norm(x - x[chosen[-1]], axis=1))
+    """Each next pivot is the vector that lies farthest from the space of those chosen; none lies in it."""
+    rest, chosen = sample.astype(np.float64), []
+    least = 1e-6 * max(1.0, float(np.sqrt((rest**2).sum(axis=1)).max(initial=0.0)))
+    while len(chosen) < min(count, len(sample)):
+        far = np.sqrt((rest**2).sum(axis=1))
+        i = int(far.argmax())
+        if far[i] <= least:
+            break
+        chosen.append(i)
+        unit = rest[i] / far[i]
+        rest = rest - np.outer(rest @ unit, unit)
     return sample[chosen]
 
 
+class Space:
+    """The space of the pivots: from distances to coordinates in it and the length of what lies outside."""
+
+    def __init__(self, pivots: np.ndarray):
+        p = pivots.astype(np.float64)
+        self.square = (p**2).sum(axis=1)
+        self.back = np.linalg.inv(np.linalg.qr(p.T)[1]) if len(p) else np.zeros((0, 0))
+
+    def place(self, d: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """d: distances to the pivots; norm: squared distances to the origin."""
+        products = (norm[:, None] + self.square - d**2) / 2
+        at = products @ self.back
+        return at, np.sqrt(np.maximum(norm - (at**2).sum(axis=1), 0))
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.norm(x.astype(np.float64) - p, axis=1) for p in pivots.astype(np.float64)], axis=1) if len(x) else np.zeros((0, len(pivots)))
 
@@ -74,15 +94,12 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _pivot_table(sent):
     def run(batches):
         for batch in batches:
-            table, near = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int32)
-            at = np.zeros(batch.num_rows)
+            table = [None] * batch.num_rows
             for rows, x in by_length(batch.column(1)):
                 d = distances(x, sent.value[x.shape[1]]) if x.shape[1] in sent.value else np.zeros((len(x), 0))
-                if d.shape[1]:
-                    near[rows], at[rows] = d.argmin(axis=1), d.min(axis=1)
                 for r, values in zip(rows.tolist(), d, strict=True):
                     table[r] = values
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table, pa.list_(pa.float64())), pa.array(near), pa.array(at)], names=["vec_id", "v", "d", "near", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table, pa.list_(pa.float64()))], names=["vec_id", "v", "d"])
 
     return run
 
@@ -109,18 +126,24 @@ class Best:
 def _search(sent, k: int):
     def run(batches):
         blocks = sent.value
-        best = {n: [Best(k, f) for f in floors] for n, (_, _, _, floors) in blocks.items()}
+        best = {n: [Best(k, f) for f in floors] for n, (_, _, _, floors, _) in blocks.items()}
         evaluated = {n: np.zeros(len(b), np.int64) for n, b in best.items()}
-        for ids, vectors, table in held(batches):
+        spaces = {n: Space(pivots) for n, (_, _, _, _, pivots) in blocks.items()}
+        for batch in batches:
+            ids, table = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             width = np.diff(table.offsets.to_numpy())
             flat, first = table.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(width)])
-            for rows, x in by_length(vectors):
+            for rows, x in by_length(batch.column(1)):
                 n = x.shape[1]
-                if n in blocks:
-                    q_ids, q, q_d, _ = blocks[n]
-                    d = flat[(first[rows][:, None] + np.arange(q_d.shape[1])).ravel()].reshape(len(rows), -1)
-                    _evaluate(q_ids, q, q_d, best[n], evaluated[n], ids[rows], x, d)
-        for n, (q_ids, _, _, _) in blocks.items():
+                if n not in blocks:
+                    continue
+                q_ids, q, q_d, _, _ = blocks[n]
+                wide = max(1, BOUNDS // max(1, len(q)))
+                for a in range(0, len(rows), wide):
+                    part = rows[a : a + wide]
+                    d = flat[(first[part][:, None] + np.arange(q_d.shape[1])).ravel()].reshape(len(part), -1)
+                    _evaluate(q_ids, q, q_d, best[n], evaluated[n], ids[part], x[a : a + wide], d, spaces[n])
+        for n, (q_ids, *_) in blocks.items():
             out = [(i, x, s) for i, b in zip(q_ids.tolist(), best[n], strict=True) for x, s in zip(b.id.tolist(), b.score.tolist(), strict=True)]
             out += [(i, None, int(c)) for i, c in zip(q_ids.tolist(), evaluated[n], strict=True) if c]  # how many were evaluated
             if out:
@@ -129,50 +152,24 @@ def _search(sent, k: int):
     return run
 
 
-def held(batches) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
-    """Batches put together to about HELD rows: their ids, vectors and pivot distances."""
-    some, size = [], 0
-    for batch in batches:
-        some.append(batch)
-        size += batch.num_rows
-        if size >= HELD:
-            t = pa.Table.from_batches(some).combine_chunks()
-            yield t.column(0).to_numpy(), t.column(1).combine_chunks(), t.column(2).combine_chunks()
-            some, size = [], 0
-    if size:
-        t = pa.Table.from_batches(some).combine_chunks()
-        yield t.column(0).to_numpy(), t.column(1).combine_chunks(), t.column(2).combine_chunks()
-
-
-def _evaluate(q_ids, q, q_d, best, evaluated, ids, x, d) -> None:
-    """All queries against rows sorted by nearest pivot: chunk after chunk of the highest bound, until none may hold more."""
+def _evaluate(q_ids, q, q_d, best, evaluated, ids, x, d, space: Space) -> None:
+    """All queries against a block of rows: bounds by one product, then each query's candidates in the order of their bounds."""
     norm, q_norm = (x.astype(np.float64) ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
-    cuts = np.arange(0, len(x), CHUNK)
-    top = np.maximum.reduceat(norm, cuts)
-    upper = np.full((len(q), len(cuts)), np.inf)
-    if d.shape[1]:
-        low, high = np.minimum.reduceat(d, cuts, axis=0), np.maximum.reduceat(d, cuts, axis=0)
-        for c in range(len(cuts)):
-            gap = np.maximum(low[c] - q_d, q_d - high[c]).max(axis=1).clip(min=0)
-            upper[:, c] = (top[c] + q_norm - gap**2) / 2
-        upper += 1e-9 * (top[None, :] + q_norm[:, None]) + 0.5  # room for rounding; scores are whole numbers
-    for i in range(len(q)):
-        b, order = best[i], np.argsort(-upper[i], kind="stable")
-        for c in order.tolist():
-            if upper[i, c] < b.least():
+    at, rest = space.place(d, norm)
+    q_at, q_rest = space.place(q_d, q_norm)
+    upper = q_at @ at.T + np.outer(q_rest, rest)
+    upper += 1e-6 * (norm[None, :] + q_norm[:, None]) + 0.5  # room for rounding; scores are whole numbers
+    least = np.array([b.least() for b in best])
+    for i in np.flatnonzero((upper >= least[:, None]).any(axis=1)).tolist():
+        bound, b = upper[i], best[i]
+        live = np.flatnonzero((bound >= least[i]) & (ids != q_ids[i]))
+        live = live[np.argsort(-bound[live])]
+        for a in range(0, len(live), STEP):
+            if bound[live[a]] < b.least():
                 break
-            at = slice(cuts[c], min(cuts[c] + CHUNK, len(x)))
-            lower = np.abs(d[at] - q_d[i]).max(axis=1) if d.shape[1] else np.zeros(at.stop - at.start)
-            both = norm[at] + q_norm[i]
-            bound = (both - lower**2) / 2 + 1e-9 * both + 0.5
-            live = np.flatnonzero((bound >= b.least()) & (ids[at] != q_ids[i]))
-            live = live[np.argsort(-bound[live])]
-            for a in range(0, len(live), STEP):
-                if bound[live[a]] < b.least():
-                    break
-                some = live[a : a + STEP] + at.start
-                evaluated[i] += len(some)
-                b.add(dots(x[some], q[i]), ids[some])
+            some = live[a : a + STEP]
+            evaluated[i] += len(some)
+            b.add(dots(x[some], q[i]), ids[some])
 
 
 def found(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -184,9 +181,9 @@ def found(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
     lengths = {len(r["v"]) for r in sample}
     mats = {n: (np.array([r["vec_id"] for r in sample if len(r["v"]) == n], np.int64), np.array([r["v"] for r in sample if len(r["v"]) == n], np.int64).reshape(-1, n)) for n in lengths}
-    pivots = sc.broadcast({n: choose_pivots(x) for n, (_, x) in mats.items() if n})  # PIVOTS vectors a length of the sample
-    near = rows.mapInArrow(tidy(_pivot_table(pivots)), "vec_id long, v array<long>, d array<double>, near int, at double")
-    table = written(near.sortWithinPartitions("near", "at").select("vec_id", "v", "d"), "pivot-table")
+    chosen = {n: choose_pivots(x) for n, (_, x) in mats.items() if n}
+    pivots = sc.broadcast(chosen)  # PIVOTS vectors a length of the sample
+    table = written(rows.mapInArrow(tidy(_pivot_table(pivots)), "vec_id long, v array<long>, d array<double>"), "pivot-table")
     pivots.destroy()
     # a query id that repeats is one row before anything is collected
     asked = written(table.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "d")).alias("r")).select("vec_id", "r.*"), "topk-queries")
@@ -204,7 +201,7 @@ def found(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             for i, v in zip(q_ids, q, strict=True):
                 some = np.sort(dots(s[s_ids != i], v))
                 floors.append(int(some[-k]) if len(some) >= k else None)
-            sent[n] = (q_ids, q, np.array([d for _, _, d in own], np.float64).reshape(len(own), -1), floors)
+            sent[n] = (q_ids, q, np.array([d for _, _, d in own], np.float64).reshape(len(own), -1), floors, chosen.get(n, np.zeros((0, n), np.int64)))
         block = sc.broadcast(sent)  # about BLOCK vectors
         table.mapInArrow(tidy(_search(block, k)), _RESULT).write.mode("append").parquet(out)
         block.destroy()
