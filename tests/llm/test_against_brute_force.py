@@ -30,7 +30,8 @@ def texts(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(name, spark, sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    c.sql("SET timezone = 'UTC'")
+    for t in ("documents", "embeddings", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = c.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
