@@ -12,10 +12,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import FMClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,12 +120,39 @@ def train(df: DataFrame, target: str, features: Sequence[str], task: str) -> Pip
     return pipeline(df, target, features, task).fit(rows)
 
 
+def as_columns(model: PipelineModel, features: Sequence[str]) -> tuple[Column, Column | None] | None:
+    """A linear model of numbers as an expression (result, raw score of classes), which stays in generated code; None for others."""
+    stages = list(model.stages)
+    learner = stages.pop()
+    if not isinstance(learner, (LinearRegressionModel, LogisticRegressionModel)) or any(not isinstance(s, (ImputerModel, VectorAssembler, StandardScalerModel)) for s in stages):
+        return None
+    classes = isinstance(learner, LogisticRegressionModel)
+    if [type(s) for s in stages] != [ImputerModel, VectorAssembler, StandardScalerModel] or classes and learner.numClasses != 2:
+        return None
+    imputer, _, scaler = stages
+    fill, names = imputer.surrogateDF.first(), imputer.getInputCols()
+    if list(names) != list(features) or not (scaler.getWithMean() and scaler.getWithStd()):
+        return None
+    total, terms = float(learner.intercept), []
+    for c, w, m, s in zip(names, learner.coefficients.toArray().tolist(), scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), strict=True):
+        if s:
+            total -= w * m / s
+            x = F.col(c).cast("double")
+            terms.append(F.when(x.isNull() | F.isnan(x), F.lit(float(fill[c]))).otherwise(x) * F.lit(w / s))
+    score = sum(terms, F.lit(total))
+    return (F.when(score > 0, 1.0).otherwise(0.0), score) if classes else (score, None)
+
+
 def predict(df: DataFrame, target: str, features: Sequence[str] | None = None, task: str = "value", table: str = "", registry: Registry | None = None, where: str | None = None, train_where: str | None = None) -> DataFrame:
     """df's rows with `result`, and for classes the raw score as `debug_value` (above 0: class 1)."""
     names = feature_columns(df, target, features)
     registry = registry or Registry.new(df.sparkSession)
     model = registry.load_or(table, names, target, task, lambda: train(df.where(train_where) if train_where else df, target, names, task))
-    out = model.transform(typed(df.where(where) if where else df, names))
+    rows = df.where(where) if where else df
+    linear = as_columns(model, names)
+    if linear is not None:
+        return rows.select(*df.columns, linear[0].alias("result"), *([linear[1].alias("debug_value")] if linear[1] is not None else []))
+    out = model.transform(typed(rows, names))
     extra = []
     if task != "value":
         from pyspark.ml.functions import vector_to_array

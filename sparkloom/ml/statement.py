@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .predict import Registry, feature_columns, typed
+from .predict import Registry, as_columns, feature_columns, typed
 
 _FORM = re.compile(r"^\s*predict\s+(value|class)\s+of\s+([\w.]+)\s+from\s+([\w.]+)(?:\s+where\s+(.+?))?\s+train\s+on\s*(\*|[\w.,\s]*?)(?:\s+with\s+(\w+))?\s*;?\s*$", re.I | re.S)
 SETTING = "sparkloom.predict.model"
@@ -103,6 +103,9 @@ def fitted(df: DataFrame, target: str, features: Sequence[str], task: str, model
 def _shown(model: PipelineModel, df: DataFrame, features: Sequence[str], task: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
+    linear = as_columns(model, features)
+    if linear is not None:
+        return df.select(*df.columns, linear[0].alias("result"), *([linear[1].alias("debug_value")] if linear[1] is not None else []))
     out = model.transform(typed(df, features))
     scored = next((c for c in ("__raw_score", "rawPrediction") if c in out.columns and c not in df.columns), None)
     raw = [vector_to_array(scored)[1].alias("debug_value")] if task == "class" and scored else []

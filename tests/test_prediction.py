@@ -65,3 +65,16 @@ def test_train_infer_and_finetune_by_name(spark, table):
 def test_candidate_pipelines_are_scored_on_unseen_rows(spark, table):
     got = st.best_pipeline(spark.table(table).select("a", "big"), "big", ["a"], pipelines=[("standard",), ("minmax", "polynomial")], models=["logistic"]).collect()
     assert len(got) == 2 and got[0]["score"] >= got[1]["score"] and got[0]["score"] > 0.9
+
+
+def test_linear_models_as_columns_equal_their_pipelines(spark):
+    rows = spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), F.when(F.col("id") % 11 != 0, F.col("id") % 5).cast("int").alias("b"), F.lit(2.0).alias("c"))
+    rows = rows.withColumns({"y": F.col("a") * 2 - F.coalesce("b", F.lit(1)) + F.rand(3), "k": (F.col("a") > 8).cast("int")})
+    names = ["a", "b", "c"]
+    for task, target in (("value", "y"), ("class", "k")):
+        model = ml.train(rows, target, names, task)
+        got, raw = ml.as_columns(model, names)
+        out = model.transform(ml.typed(rows, names).withColumnsRenamed({}))
+        both = out.select(got.alias("g"), F.col("result").alias("w")).collect()
+        assert all(r["g"] == pytest.approx(r["w"], rel=1e-9, abs=1e-9) for r in both)
+    assert ml.as_columns(st.fitted(rows, "k", names, "class", "tree"), names) is None
