@@ -72,7 +72,7 @@ class Space:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.linalg.norm(x.astype(np.float64) - p, axis=1) for p in pivots.astype(np.float64)], axis=1) if len(x) else np.zeros((0, len(pivots)))
+    return np.stack([np.linalg.norm(x.astype(np.float64) - p, axis=1) for p in pivots.astype(np.float64)], axis=1) if len(x) and len(pivots) else np.zeros((len(x), len(pivots)))
 
 
 def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:

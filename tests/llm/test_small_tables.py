@@ -233,3 +233,27 @@ def test_topk_by_brute_force_over_clusters_and_lengths(spark):
         assert sorted(got[q]) == [(n, -s, i) for n, (s, i) in enumerate(scores, 1)]
     few = {r["query_id"]: r["evaluated"] for r in topk.evaluated(table).collect()}
     assert all(few.get(q, 0) <= 3000 for q in range(0, 3000, 100))
+
+
+def test_topk_bounds_are_never_below_a_score():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n, m, dim in ((40, 5, 12), (30, 48, 9), (20, 1, 4), (20, 0, 4)):
+        x = rng.integers(-900, 900, (n, dim))
+        x[3], x[4] = x[5], 0
+        pivots = topk.choose_pivots(x, m)
+        at, rest = topk.Space(pivots).place(topk.distances(x, pivots), (x.astype(float) ** 2).sum(axis=1))
+        bound, score = at @ at.T + np.outer(rest, rest), x @ x.T
+        norm = np.diag(score).astype(float)
+        assert (bound + 1e-6 * (norm[:, None] + norm[None, :]) + 0.5 >= score).all()
+        for p in pivots:  # the distance's bound is never below that of a single pivot
+            d = np.linalg.norm(x - p, axis=1)
+            lower = np.sqrt(np.maximum(norm[:, None] + norm[None, :] - 2 * bound, 0))
+            assert (lower + 1e-3 >= np.abs(d[:, None] - d[None, :])).all()
+
+
+def test_topk_of_vectors_that_are_all_zero(spark):
+    df = spark.createDataFrame([(i, [0.0, 0.0]) for i in (0, 1, 2, 100)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=2).collect()}
+    assert got == {(0, 1, 1, 0), (0, 2, 2, 0), (100, 1, 0, 0), (100, 2, 1, 0)}
