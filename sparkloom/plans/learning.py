@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import numbers
 from ..ml import predict as ml
+from ..operators import relational
 from ..sources import files
 from .registry import load, query, sql
 
@@ -61,7 +62,14 @@ def label_encode(spark, sf_dir):
 
 
 sql("impute_mean", "SELECT c_custkey, round(coalesce(nullif(greatest(c_acctbal, 0), 0), (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)), 4) AS x FROM customer")
-sql("impute_median", "SELECT c_custkey, round(coalesce(nullif(greatest(c_acctbal, 0), 0), (SELECT median(c_acctbal) FROM customer WHERE c_acctbal > 0)), 4) AS x FROM customer")
+@query("impute_median", "SELECT c_custkey, round(coalesce(nullif(greatest(c_acctbal, 0), 0), (SELECT median(c_acctbal) FROM customer WHERE c_acctbal > 0)), 4) AS x FROM customer")
+def impute_median(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("x"))
+    middle = relational.exact_quantiles(rows, "x", [0.5]).scalar()
+    return rows.select("c_custkey", F.round(F.coalesce("x", middle), 4).alias("x"))
+
+
+
 sql(
     "impute_mode",
     "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), (SELECT v FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY c_mktsegment) t ORDER BY n DESC, v LIMIT 1)) AS x FROM customer",
@@ -69,7 +77,14 @@ sql(
 sql("one_hot", "SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INT) AS building, CAST(c_mktsegment = 'MACHINERY' AS INT) AS machinery, CAST(c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS INT) AS other FROM customer")
 sql("scale_minmax", "SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 6) AS x FROM customer CROSS JOIN (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) s")
 sql("scale_standard", "SELECT c_custkey, round((c_acctbal - m) / sd, 5) AS x FROM customer CROSS JOIN (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM customer) s")
-sql("scale_robust", "SELECT c_custkey, round((c_acctbal - q2) / (q3 - q1), 5) AS x FROM customer CROSS JOIN (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal) AS q1, percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS q2, percentile_cont(0.75) WITHIN GROUP (ORDER BY c_acctbal) AS q3 FROM customer) s")
+
+@query("scale_robust", "SELECT c_custkey, round((c_acctbal - q2) / (q3 - q1), 5) AS x FROM customer CROSS JOIN (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal) AS q1, percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS q2, percentile_cont(0.75) WITHIN GROUP (ORDER BY c_acctbal) AS q3 FROM customer) s")
+def scale_robust(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    q = relational.exact_quantiles(rows, "c_acctbal", [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2").alias("q")).scalar()
+    return rows.select("c_custkey", F.round((F.col("c_acctbal") - q["q1"]) / (q["q2"] - q["q0"]), 5).alias("x"))
+
+
 sql("scale_maxabs", "SELECT c_custkey, round(c_acctbal / m, 6) AS x FROM customer CROSS JOIN (SELECT max(abs(c_acctbal)) AS m FROM customer) s")
 sql("scale_normalizer", "SELECT l_orderkey, l_linenumber, round(l_quantity / sqrt(l_quantity * l_quantity + l_extendedprice * l_extendedprice), 8) AS x FROM lineitem")
 sql("kbins", "SELECT c_custkey, CAST(least(floor((c_acctbal - lo) / ((hi - lo) / 5)), 4) AS INT) AS bin FROM customer CROSS JOIN (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) s")
