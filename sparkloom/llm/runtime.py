@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import io
 import os
 import re
@@ -15,6 +16,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Tables between two sweeps; tables written so far.
+SWEEP, _TABLES = 6, [0]
 _SCOPE: contextvars.ContextVar[tuple] = contextvars.ContextVar("tables", default=())
 
 
@@ -38,12 +41,23 @@ def written(df: DataFrame, name: str, bloom: str | None = None, outer: bool = Fa
     (df.write.option(f"parquet.bloom.filter.enabled#{bloom}", "true") if bloom else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    _sweep(df.sparkSession)
     scopes = _SCOPE.get()
     if len(scopes) > outer:
         scopes[-1 - outer].append(out)
     return out
 
 
+def _sweep(spark: SparkSession) -> None:
+    """After every SWEEP tables, collects the driver's garbage: only then does Spark remove the shuffle files and broadcasts of
+    queries that are over, on all machines; the driver's heap stays small as well.
+    """
+    _TABLES[0] += 1
+    if _TABLES[0] % SWEEP == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scope():
     """Drops what written() made inside when it ends: for callers that have written or collected a result by then."""
