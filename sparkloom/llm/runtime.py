@@ -14,11 +14,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-#: Tables between two sweeps; tables written so far.
-SWEEP, _TABLES = 3, [0]
+#: Tables between two sweeps of the driver, and of the executors; tables written so far.
+SWEEP, SWEEP_ALL, _TABLES = 3, 6, [0]
 _SCOPE: contextvars.ContextVar[tuple] = contextvars.ContextVar("tables", default=())
 
 
@@ -61,6 +63,24 @@ def _sweep(spark: SparkSession) -> None:
         gc.collect()
         jvm.System.gc()
     trim(spark)
+    if _TABLES[0] % SWEEP_ALL == 0:
+        sweep_executors(spark)
+
+
+def executors(spark: SparkSession) -> int:
+    """Executors besides the driver; none in a local session."""
+    return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+
+
+def sweep_executors(spark: SparkSession) -> None:
+    """Collects the garbage of the executors' JVMs, by one short task for each: they give back the heap that an earlier stage grew and
+    the classes compiled for it, which otherwise stay for the life of the application beside the Python workers. Where Spark doesn't let a query
+    call Java, nothing happens.
+    """
+    n = executors(spark)
+    if n > 0:
+        with contextlib.suppress(PySparkException, Py4JError):
+            spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def trim(spark: SparkSession) -> None:
@@ -77,7 +97,7 @@ def trim(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def scope():
-    """Drops what written() made inside when it ends: for callers that have written or collected a result by then."""
+    """Drops what written() made inside when it ends, and sweeps the executors: for callers that have written or collected a result by then."""
     made: list[DataFrame] = []
     token = _SCOPE.set((*_SCOPE.get(), made))
     try:
@@ -85,6 +105,8 @@ def scope():
     finally:
         _SCOPE.reset(token)
         drop(*made)
+        if made:
+            sweep_executors(made[0].sparkSession)
 
 
 def drop(*tables: DataFrame) -> None:
