@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .runtime import give_back, ship, tidy, written
-from .text import Recent
+from .text import pieces, plain, word_bounds
 
-#: Words whose ids a Python worker keeps, parts of the pieces of one length that are numbered on their own.
-KEEP, PARTS = 20_000, 256
+#: Units whose ids a Python worker keeps (half as many more between two blocks), their most bytes and ids, bytes of texts that are cut
+#: at once, parts of the pieces of one length that are numbered on their own.
+KEEP, LONG, BLOCK, PARTS = 60_000, 64, 1 << 20, 256
 #: Fixed value: what the word-wise way takes a tokenizer's pieces to be.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict = {}
@@ -53,13 +55,15 @@ def goes_by_word(data: str) -> bool:
 
 
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer never joins what a space or a line end separates.
+    """Token ids of texts, unit by unit: the tokenizer never joins what a blank, or a change between letters and marks, separates.
 
     Only for tokenizers that goes_by_word() knows; texts go to any other one whole.
 
-    A word of Latin-1 letters, maybe with full stops and commas behind it, is its lower-cased letters and those marks, each
-    split off by the tokenizer as well. The letters of many words go to it in one call, without the steps that would
-    leave them as they are; an id that ends a word shows where each word's ids end.
+    A word of Latin letters (ASCII and U+00C0 to U+00FF), digits and ASCII marks is cut as the tokenizer cuts it, into lower-cased
+    runs of letters, single digits and runs of marks. Any other word (with an apostrophe, which may begin a piece of its own,
+    a <, which may begin a special token, or other characters) is one unit and goes to the tokenizer with all its steps.
+    The plain units of a block that the worker doesn't know yet go to it in few calls, without the steps that would leave them as they
+    are; an id that ends a word shows where each unit's ids end.
     """
 
     def __init__(self, data: str):
@@ -74,67 +78,126 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = Recent(KEEP)
+        self._keep(pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         del vocabulary
         give_back()  # what reading the vocabulary took
 
-    def _whole(self, words: list[str]) -> None:
-        known = self.known.young
+    def _keep(self, names: pa.Array, ids: np.ndarray, begin: np.ndarray, sizes: np.ndarray, seen: np.ndarray) -> None:
+        """What stays for the next blocks: units, their ids and how often they came; the most frequent KEEP when there are half as many more."""
+        if len(names) > KEEP * 3 // 2:
+            order = np.argpartition(-seen, KEEP)[:KEEP]
+            stay = np.sort(order[(sizes[order] <= LONG) & (pc.binary_length(names.take(pa.array(order))).to_numpy() <= LONG)])
+            names, ids, sizes, seen = names.take(pa.array(stay)), _gather(ids, begin[stay], sizes[stay]), sizes[stay], seen[stay] // 2
+            begin = np.cumsum(sizes) - sizes
+        self.names, self.ids, self.begin, self.sizes, self.seen = names, ids, begin, sizes, seen
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one behind the other, and their numbers, by all steps of the tokenizer."""
+        ids, sizes = array("I"), []
         for a in range(0, len(words), 1024):
-            part = words[a : a + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+            for e in self.tokenizer.encode_batch_fast(words[a : a + 1024], add_special_tokens=False):
+                ids.extend(e.ids)
+                sizes.append(len(e.ids))
+        return np.frombuffer(ids, dtype="<u4"), np.array(sizes, dtype=np.int64)
 
     def _steps(self, steps: tuple) -> None:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
 
-    def _letters(self, words: list[str]) -> None:
-        known, odd = self.known.young, []
-        self._steps(self.bare)
-        for a in range(0, len(words), 4096):
-            parts = [words[b : b + 256] for b in range(a, min(a + 4096, len(words)), 256)]
-            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def _plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain units."""
+        made = []
+        for a in range(0, len(units), 4096):
+            parts = [units[b : b + 256] for b in range(a, min(a + 4096, len(units)), 256)]
+            self._steps(self.bare)
+            done = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+            self._steps(self.usual)
+            for part, e in zip(parts, done, strict=True):
                 ids = np.array(e.ids, dtype="<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-                if len(cuts) != len(part):
-                    odd += part
-                    continue
-                data, cuts = ids.tobytes(), cuts.tolist()
-                for w, x, y in zip(part, [0, *cuts[:-1]], cuts, strict=True):
-                    known[w] = data[x:y]
-        self._steps(self.usual)
-        self._whole(odd)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                made.append((ids, np.diff(cuts, prepend=0)) if len(cuts) == len(part) else self._whole(part))
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else self._whole([])
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts as little-endian 32-bit numbers, and the first one of each text (with their number at the end)."""
+        if not self.by_word:
+            made = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for ids in made for i in ids), dtype="<u4"), np.cumsum([0, *map(len, made)])
+        units, first, odd = units_of(*plain(texts))
+        known = len(self.names)
+        coded = pa.concat_arrays([self.names, units]).dictionary_encode()  # known units keep their numbers, new ones come behind
+        names, at = coded.dictionary, coded.indices.to_numpy()[known:]
+        strange = np.zeros(len(names), dtype=bool)
+        strange[at[odd]] = True
+        whole = np.flatnonzero(strange[known:]) + known
+        bare = np.flatnonzero(~strange[known:]) + known
+        (x, n), (y, m) = self._plain(names.take(pa.array(bare)).to_pylist()), self._whole(names.take(pa.array(whole)).to_pylist())
+        ids, added, new = np.concatenate([self.ids, x, y]), np.concatenate([n, m]), np.concatenate([bare, whole])
+        sizes, begin = (np.concatenate([old, np.zeros(len(new), np.int64)]) for old in (self.sizes, self.begin))
+        sizes[new] = added
+        begin[new] = len(self.ids) + np.cumsum(added) - added
+        count = sizes[at]
+        out, ends = _gather(ids, begin[at], count), np.cumsum(count)
+        seen = np.bincount(at, minlength=len(names))
+        seen[:known] += self.seen
+        self._keep(names, ids, begin, sizes, seen)
+        return out, np.concatenate([[0], ends])[first]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if not self.by_word:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new = self.known.lacking(new)
-        known, old = self.known.young, self.known.old
-        made, letters, whole = [], set(), set()
-        for w in new:
-            core = w.rstrip(".,")
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                low, marks = core.lower(), w[len(core) :]
-                if low in old and low not in known:
-                    known[low] = old[low]
-                elif low not in known:
-                    letters.add(low)
-                if marks and marks not in known:
-                    whole.add(marks)
-                made.append((w, low, marks))
-            else:
-                whole.add(w)
-        self._letters(list(letters))
-        self._whole(list(whole))
-        for w, low, marks in made:
-            known[w] = known[low] + known[marks] if marks else known[low]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids, first = self.column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of values that begin there, one behind the other."""
+    shift = begin - (np.cumsum(sizes) - sizes)
+    at = np.repeat(shift, sizes)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    kind, low = np.full(256, ODD, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    for b in range(0x21, 0x7F):
+        c = chr(b)
+        kind[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else ODD if c in "'<" else MARK
+    kind[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
+    low[ord("A") : ord("Z") + 1] += 32
+    return kind, low
+
+
+BLANK, LETTER, MARK, DIGIT, ODD = range(5)
+_KIND, _LOW = _kinds()
+
+
+def units_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The units of texts (bytes and offsets of rows), each row's first one (with their number at the end), and which units are odd words."""
+    kind, low = _KIND[raw], _LOW[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)  # U+00C0 to U+00FF, letters but for the signs of multiplication and division
+    after = raw[lead + 1]
+    fine = (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+    lead, after = lead[fine] + 1, after[fine]
+    kind[lead - 1] = kind[lead] = LETTER
+    low[lead[after <= 0x9E]] += 32
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        starts, ends, _ = word_bounds(raw, offsets)
+        which = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        change = np.zeros(len(raw) + 1, dtype=np.int8)
+        change[starts[which]] += 1
+        change[ends[which]] -= 1
+        inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+        kind[inside] = ODD
+        low[inside] = raw[inside]
+    edge = kind == DIGIT
+    edge[1:] |= kind[1:] != kind[:-1]
+    edge[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    stays = kind != BLANK
+    edge &= stays
+    data, bounds = low[stays], np.flatnonzero(edge[stays])
+    starts = np.flatnonzero(edge)
+    units = pa.Array.from_buffers(pa.large_string(), len(bounds), [None, pa.py_buffer(np.append(bounds, len(data))), pa.py_buffer(data)])
+    return units, np.searchsorted(starts, offsets), kind[starts] == ODD
 
 
 def _cut(sent, capacity: int, end: bytes):
@@ -146,10 +209,12 @@ def _cut(sent, capacity: int, end: bytes):
         coder = _WORKER[key]
         step = 4 * capacity
 
-        def block(ids: list, texts: list[str]) -> pa.RecordBatch:
+        def block(ids: list, texts: pa.Array) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for i, data in zip(ids, coder.encode(texts), strict=True):
-                data += end
+            tokens, first = coder.column(texts)
+            first = first.tolist()
+            for i, x, y in zip(ids, first[:-1], first[1:], strict=True):
+                data = tokens[x:y].tobytes() + end
                 for piece, a in enumerate(range(0, len(data), step)):
                     part = data[a : a + step]
                     rows.append((i, piece, a // 4, len(part) // 4, zlib.crc32(part)))
@@ -158,17 +223,10 @@ def _cut(sent, capacity: int, end: bytes):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size >= 1 << 19:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield block(ids, texts)
-        coder.known.rest()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in pieces(plain(texts)[1], BLOCK):
+                yield block(ids[a:b], texts.slice(a, b - a))
+            give_back()
 
     return run
 
